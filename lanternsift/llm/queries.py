@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternsift.llm import bpe, line_dedup, quality_rules, simhash, substring_dedup
+from lanternsift.llm import bpe, chat, html_text, line_dedup, quality_rules, simhash, substring_dedup
 from lanternsift.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), full=False)
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.perspectives(table(spark, sf_dir, "conversations")))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), full=False)
 
@@ -43,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_chat_formatting": chat.ORACLE_SQL, "op10_quality_rules": quality_rules.ORACLE_SQL}
