@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternsift.llm import bpe, chat, html_text, language_id, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup
+from lanternsift.llm import bpe, chat, decontamination, html_text, language_id, line_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 from lanternsift.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
