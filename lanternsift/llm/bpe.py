@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lanternsift.llm.common import slim
 
@@ -115,7 +116,7 @@ def _groups(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: bool, block: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], with_ids: bool, with_decoded: bool, block: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     table = WordTable(path)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("_text"))
@@ -135,30 +136,31 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, keep: list[str]
                     h.update(raw)
                     d.update(text if first else b" " + text)
                     first = False
-                    if full:
+                    if with_ids:
                         kept_ids.append(ids)
+                    if with_decoded:
                         kept_text.append(text.decode())
                 n_tokens.append(n)
                 ids_sha.append(h.hexdigest())
                 dec_sha.append(d.hexdigest())
-                if full:
-                    all_ids.append(np.concatenate(kept_ids).astype(np.int32) if kept_ids else np.empty(0, np.int32))
-                    all_text.append(" ".join(kept_text))
+                all_ids.append(np.concatenate(kept_ids).astype(np.int32) if kept_ids else np.empty(0, np.int32))
+                all_text.append(" ".join(kept_text))
             columns = [batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in keep]
             columns += [pa.array(n_tokens, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(dec_sha, pa.string())]
             names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-                names += ["ids", "decoded"]
+            if with_ids:
+                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_decoded:
+                columns.append(pa.array(all_text, pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", full: bool = True) -> DataFrame:
-    """The kept columns, n_tokens, digests of ids and decoded text, and with full the ids and the decoded text."""
-    from pyspark.sql import functions as F
-
-    base = slim(docs, *keep).withColumn("_text", F.col(f"`{text}`")) if text in keep else slim(docs, *keep, text).withColumnRenamed(text, "_text")
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
+    """The kept columns, n_tokens, digests of the ids and of the decoded text, and the ids and the decoded text if asked for."""
+    base = slim(docs, *keep).withColumn("_text", F.col("text")) if "text" in keep else slim(docs, *keep, "text").withColumnRenamed("text", "_text")
     names = list(keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "_text")
-    schema = f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if full else "")
-    return base.mapInArrow(lambda it: encode_batches(it, path, names, full), schema)
+    schema = f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
+    return base.mapInArrow(lambda it: encode_batches(it, path, names, with_ids, with_decoded), schema)

@@ -105,8 +105,11 @@ def build_runs(rows: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES
     return runs, rows
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_text for every row; lines of shared keys stay in the largest doc_id alone."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_text for every row; lines of shared keys stay in the largest doc_id alone.
+
+    carry: columns of docs to take along, as the fields of one struct named carried.
+    """
     runs, rows = build_runs(line_rows(docs, min_chars), min_docs, batches)
     shared = runs.shared().select(*KEY, "owner")
     # One row a key on the right: a key that a third of all rows hold is split by the adaptive skew join.
@@ -118,15 +121,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .select(F.col("doc_id").alias("lost_id"), F.col("row_key").alias("lost_key"), "drop")
     )
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = slim(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.xxhash64(text).alias("row_key"))
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("row_key"), *more)
     joined = base.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("row_key") == F.col("lost_key")), "left")
-    lines = joined.select("doc_id", "text", F.split("text", "\n").alias("lines"), "drop")
+    taken = ["carried"] if carry else []
+    lines = joined.select("doc_id", "text", F.split("text", "\n").alias("lines"), "drop", *taken)
     at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     return lines.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get(F.col("lines"), i)), "\n")).alias("kept_text"),
+        *taken,
     )
 
 

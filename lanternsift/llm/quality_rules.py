@@ -84,10 +84,13 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
         F.array_join(F.col("_good"), "\n").alias("clean_text"),
         (F.size("_lines") - F.size("_good")).cast("long").alias("n_lines_failed"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    # A filter on the verdict must not sink into the steps above and evaluate their arrays inside its lambdas; it can't
+    # pass a column that isn't deterministic, and the verdicts refer to this one without depending on its value.
+    base = base.withColumn("_fence", F.monotonically_increasing_id() >= 0)
+    failed = F.col("_fence") & ((F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     base = base.withColumn("base_failed", failed)
     lost = F.col("word_chars") - _chars_in_words(F.col("clean_text"))
-    return base.withColumn("kept", ~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
+    return base.drop("_text").withColumn("kept", ~F.col("base_failed") & (lost * 100 <= F.col("word_chars") * MAX_LOST_PERCENT)).drop("_fence")
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -39,7 +39,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), full=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, with_decoded=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternsift.llm.common import settle, slim
@@ -104,3 +104,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     by_print = named.join(ids, "root").select("fp", "component_id")
     # The right side has one row a key; the adaptive skew join splits a fingerprint that many documents share.
     return prints.join(by_print, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, one of each component: that of its id, and of repeated rows of this id the first by text."""
+    groups = near_duplicates(docs, shingle, radius)
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    stays = stays.select(F.col("doc_id").alias("_stays"), "_rows")
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")))
+    # Rows that share an id are rare: only they are ranked.
+    once = kept.where("_rows = 1").select(*docs.columns)
+    ranked = kept.where("_rows > 1").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return once.unionByName(ranked.where("_rank = 1").select(*docs.columns))
