@@ -40,6 +40,8 @@ WINDOW = 32
 BLOCK = 1 << 20
 #: Rows of one trigger that a task sends before it spreads the rest by phrase.
 HOT = 16
+#: Rows under one trigger that are compared together; the phrases of a larger crowd are compared run by run.
+GROUP = 4096
 #: Phrases of a task that are looked through together for copies.
 BATCH = 1 << 20
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -182,45 +184,99 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], span: int, window: int) ->
         yield _flush(held)
 
 
-def _name_runs(parts: list[tuple[int | None, int, int, bytes]], span: int) -> pa.RecordBatch:
-    """parts: doc_id, first start, number of runs, bytes. One row for each run; later copies are settled here."""
+def _list(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+
+
+def _name_runs(parts: list[tuple], span: int) -> Iterator[pa.RecordBatch]:
+    """parts: doc_id, first start, number of runs, trigger key or None, bytes. Rows of names to be compared under a key.
+
+    Phrases of a trigger go as one row under it; those of a frequent trigger go run by run, each under its own name,
+    and later copies in this batch are settled here.
+    """
     n = np.array([p[2] for p in parts], np.int64)
-    data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+    data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
     first = np.cumsum(n + span - 1) - (n + span - 1)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(first, n) + within
-    where = np.repeat(np.array([p[1] for p in parts], np.int64), n) + within
-    h1, h2 = _names(data, span, 0x1357)[at], _names(data, span, 0x2468)[at]
-    null = np.repeat(np.array([p[0] is None for p in parts]), n)
-    id_ = np.repeat(np.array([-1 if p[0] is None else p[0] for p in parts], np.int64), n)
-    order = np.lexsort((where, id_, ~null, h2, h1))
-    fresh = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
-    lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    later = np.zeros(len(order), bool)
-    later[order] = (id_[order] != id_[lead]) | (where[order] != where[lead]) | (null[order] != null[lead])
-    # A settled copy is routed by its own place, away from the others of its name.
-    h1 = np.where(later, _mix(h1, where.astype(np.uint64) + id_.astype(np.uint64) * _M1, np.uint64(0x44)), h1)
-    h2 = np.where(later, np.uint64(0), h2)
-    return pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(id_, mask=null), pa.array(where << 1 | later)], ["h1", "h2", "doc_id", "meta"])
+    h2 = _names(data, span, 0x2468)[np.repeat(first, n) + within]
+    ids, starts = np.array([-1 if p[0] is None else p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
+    null, spread = np.array([p[0] is None for p in parts]), np.array([p[3] is None for p in parts])
+    columns = ["key", "doc_id", "meta", "names"]
+    if not spread.all():
+        cold = np.flatnonzero(~spread)
+        key = pa.array([parts[i][3] for i in cold], pa.int64())
+        names = h2[np.repeat(~spread, n)].view(np.int64)
+        yield pa.RecordBatch.from_arrays([key, pa.array(ids[cold], mask=null[cold]), pa.array(starts[cold] << 1), _list(names, n[cold])], columns)
+    if spread.any():
+        runs = np.repeat(spread, n)
+        h1 = _names(data, span, 0x1357)[(np.repeat(first, n) + within)[runs]]
+        h2, where = h2[runs], (np.repeat(starts, n) + within)[runs]
+        id_, null = np.repeat(ids, n)[runs], np.repeat(null, n)[runs]
+        order = np.lexsort((where, id_, ~null, h2, h1))
+        fresh = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
+        lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        later = np.zeros(len(order), bool)
+        later[order] = (id_[order] != id_[lead]) | (where[order] != where[lead]) | (null[order] != null[lead])
+        # A settled copy is routed by its own place, away from the others of its name.
+        key = np.where(later, _mix(h1, where.astype(np.uint64) + id_.astype(np.uint64) * _M1, np.uint64(0x44)), h1)
+        names = _list(np.where(later, np.uint64(0), h2).view(np.int64), np.ones(len(h2), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_, mask=null), pa.array(where << 1 | later), names], columns)
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     parts, size = [], 0
     for b in batches:
-        for id_, text, open_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+        for id_, text, open_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            for meta in open_.values.to_pylist():
-                start = meta >> 12
+            for p in open_:
+                start = p["meta"] >> 12
                 # Phrases of rows that share a doc_id may come from a longer text than this one.
-                count = min(meta >> 2 & 1023, len(raw) - span - start + 1)
+                count = min(p["meta"] >> 2 & 1023, len(raw) - span - start + 1)
                 if count > 0:
-                    parts.append((id_, start, count, raw[start : start + count + span - 1]))
+                    parts.append((id_, start, count, p["key"], raw[start : start + count + span - 1]))
                     size += count
                 if size >= BATCH:
-                    yield _name_runs(parts, span)
+                    yield from _name_runs(parts, span)
                     parts, size = [], 0
     if parts:
-        yield _name_runs(parts, span)
+        yield from _name_runs(parts, span)
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and corpus order -> removed intervals, as doc_id and start << 20 | length.
+
+    Holds the names under one key: those of GROUP phrases at most, or the one name of a run.
+    """
+    key, place, seen, pending = None, None, set(), []
+    for b in batches:
+        ids, out = [], []
+        for k, id_, meta, names in zip(*(c.to_pylist() for c in b.columns)):
+            start = meta >> 1
+            if meta & 1:
+                ids.append(id_)
+                out.append(start << 20 | span)
+                continue
+            if k != key:
+                key, seen, pending = k, set(), []
+            elif (id_, start) != place:
+                seen.update(*pending)
+                pending = []
+            place = (id_, start)
+            pending.append(names)
+            if seen:
+                length = 0
+                for i, name in enumerate(names):
+                    if name in seen:
+                        length += 1
+                    elif length:
+                        ids.append(id_)
+                        out.append(start + i - length << 20 | length + span - 1)
+                        length = 0
+                if length:
+                    ids.append(id_)
+                    out.append(start + len(names) - length << 20 | length + span - 1)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "gone"])
 
 
 def _spans(where: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -263,29 +319,28 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, full
     base = slim(docs, "doc_id", "text")
     base = base.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     phrases = base.mapInArrow(lambda it: _parse_batches(it, span, window), "key bigint, phrase bigint, doc_id bigint, meta bigint")
-    # One shuffle and one sort by (key, phrase, corpus order): a row's neighbours tell all that is asked, no group is held.
+    # One shuffle and one sort by (key, phrase, corpus order). A trigger has HOT + 1 rows a task at most, and they spill.
     order = [F.col("doc_id").asc_nulls_first(), F.col("meta")]
     by_phrase = Window.partitionBy("key", "phrase").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    by_key = Window.partitionBy("key").orderBy("phrase", *order)
+    by_key = Window.partitionBy("key").orderBy("phrase", *order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kind, start, count = F.col("meta").bitwiseAND(3), F.shiftright("meta", 12), F.shiftright("meta", 2).bitwiseAND(1023)
     ranked = (
         phrases.repartition("key")
         .withColumn("first", F.first(F.struct(F.col("doc_id").alias("d"), start.alias("s"))).over(by_phrase))
-        .withColumn("company", F.lag("key").over(by_key).isNotNull() | F.lead("key").over(by_key).isNotNull())
+        .withColumn("company", F.first("phrase").over(by_key) != F.last("phrase").over(by_key))
+        .withColumn("crowd", (F.max(kind).over(by_key) >= SPREAD) | (F.count(F.lit(1)).over(by_key) > GROUP))
         .where(kind != MARK)
     )
     later = ~(F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.s") == start))
     gone = F.when((kind == COPY) | later, True).when((kind == SPREAD) | F.col("company"), False)
-    found = settle(ranked.select("doc_id", "meta", gone.alias("gone")).where("gone IS NOT NULL"))
+    found = ranked.select("doc_id", "meta", gone.alias("gone"), F.when(~gone & ~F.col("crowd"), F.col("key")).alias("key"))
+    found = settle(found.where("gone IS NOT NULL"))
 
-    opened = found.where("NOT gone").groupBy("doc_id").agg(F.collect_list("meta").alias("open")).withColumnRenamed("doc_id", "at_id")
+    opened = found.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("meta", "key")).alias("open")).withColumnRenamed("doc_id", "at_id")
     opened = base.join(opened, F.col("doc_id").eqNullSafe(F.col("at_id"))).select("doc_id", "text", "open")
-    names = opened.mapInArrow(lambda it: _runs_of(it, span), "h1 bigint, h2 bigint, doc_id bigint, meta bigint")
-    by_name = Window.partitionBy("h1", "h2").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    where = F.shiftright("meta", 1)
-    named = names.withColumn("first", F.first(F.struct(F.col("doc_id").alias("d"), where.alias("s"))).over(by_name))
-    repeated = named.where((F.col("meta").bitwiseAND(1) == 1) | ~(F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.s") == where)))
-    marks = repeated.select("doc_id", F.shiftleft(where, 20).bitwiseOR(F.lit(span)).alias("gone"))
+    names = opened.mapInArrow(lambda it: _runs_of(it, span), "key bigint, doc_id bigint, meta bigint, names array<bigint>")
+    names = names.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "meta")
+    marks = names.mapInArrow(lambda it: _repeats(it, span), "doc_id bigint, gone bigint")
     whole = found.where("gone").select("doc_id", F.shiftleft(start, 20).bitwiseOR(count + (span - 1)).alias("gone"))
     marks = whole.union(marks).groupBy("doc_id").agg(F.collect_list("gone").alias("gone")).withColumnRenamed("doc_id", "mark_id")
     joined = base.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left").select("doc_id", "text", "gone")
