@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,12 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to shared storage and read again: lineage ends there, and a lost executor costs nothing."""
+def settle(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None, release: bool = False) -> DataFrame:
+    """Write to shared storage and read again: lineage ends there, and a lost executor costs nothing.
+
+    release: let go of the finished job's shuffle files at once instead of at the driver's next collection.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    for _ in range(3 if release else 0):  # the cleaner works on what collections before it have found
+        spark._jvm.System.gc()
+        time.sleep(0.4)
     return spark.read.schema(df.schema).parquet(path)
 
 

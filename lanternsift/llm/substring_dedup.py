@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, full
     later = ~(F.col("first.d").eqNullSafe(F.col("doc_id")) & (F.col("first.s") == start))
     gone = F.when((kind == COPY) | later, True).when((kind == SPREAD) | F.col("company"), False)
     found = ranked.select("doc_id", "meta", gone.alias("gone"), F.when(~gone & ~F.col("crowd"), F.col("key")).alias("key"))
-    found = settle(found.where("gone IS NOT NULL"))
+    found = settle(found.where("gone IS NOT NULL"), release=True)
 
     opened = found.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("meta", "key")).alias("open")).withColumnRenamed("doc_id", "at_id")
     opened = base.join(opened, F.col("doc_id").eqNullSafe(F.col("at_id"))).select("doc_id", "text", "open")
