@@ -48,7 +48,7 @@ class Plant:
         return f"SELECT doc_id, i AS ident, {self.valid} AS ok FROM {self.inner()} AS p"
 
 
-_name = "CASE k % 3 WHEN 0 THEN 'Mary Smith' WHEN 1 THEN 'James Q. Public' ELSE 'Linda Garcia' END"
+_name = "CASE WHEN k % 3 = 0 THEN 'Mary Smith' WHEN k % 3 = 1 AND k % 2 = 1 THEN 'James Q. Public' ELSE 'Linda Garcia' END"
 _unissued = "'00', '07', '08', '09', '17', '18', '19', '28', '29', '49', '69', '70', '78', '79', '89', '96', '97'"
 PLANTS = {
     "email": Plant("EMAIL", "'mail '", "CASE WHEN k % 7 = 0 THEN '.' ELSE '' END || 'user' || CAST(k AS STRING) || '@mail.example.org'", valid="k % 7 <> 0", confidence="0.95"),
@@ -70,7 +70,7 @@ PLANTS = {
     "fax": Plant("FAX_NUMBER", "CASE WHEN k % 2 = 0 THEN 'fax ' ELSE 'ring ' END", f"'415-555-' || {pad('k % 10000', 4)}", valid="k % 2 = 0"),
     "tax_id": Plant("TAX_ID", "'EIN '", f"{pad('k % 100', 2)} || '-' || {pad('k', 7)}", valid=f"substr(i, 1, 2) NOT IN ({_unissued})", confidence="0.85"),
     "address": Plant("ADDRESS", "'lives at '", "CAST(1 + k % 9999 AS STRING) || ' Maple Hill Street, Boston'", "' now'", confidence="0.85"),
-    "name": Plant("PERSON_NAME", "CASE WHEN k % 2 = 0 THEN 'met Dr. ' ELSE 'met ' END", _name, "' today'", confidence="0.8", valid="NOT (k % 2 = 0 AND k % 3 = 1)"),
+    "name": Plant("PERSON_NAME", "CASE WHEN k % 2 = 0 THEN 'met Dr. ' ELSE 'met ' END", _name, "' today'", confidence="0.8"),
 }
 
 
