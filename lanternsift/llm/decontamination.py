@@ -47,6 +47,8 @@ MIN_LCS = 0.7
 MIN_ANSWER = 0.7
 #: Characters of text that are split at a time.
 BLOCK_CHARS = 4_000_000
+#: Passages or windows whose vectors are formed at a time.
+GROUPS = 8192
 SEED = 11
 
 
@@ -175,22 +177,37 @@ def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, sketch: np.nd
         norms = np.sqrt(np.bincount(cells // len(weight), (weight[cells % len(weight)] * count) ** 2, len(heads)))
         value = (weight[cells % len(weight)] * count / norms[cells // len(weight)]).astype(np.float32)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(cells // len(weight)) > 0)))
-        for lo in range(0, len(starts), 50_000):
+        for lo in range(0, len(starts), GROUPS):
             a = starts[lo]
-            z = starts[lo + 50_000] if lo + 50_000 < len(starts) else len(cells)
+            z = starts[lo + GROUPS] if lo + GROUPS < len(starts) else len(cells)
             w, v, p = cells[a:z] % len(weight), value[a:z], cells[a:z] // len(weight)
-            y = np.add.reduceat(sketch[w] * v[:, None], starts[lo : lo + 50_000] - a, axis=0)
-            share = y[p - p[0]] * v[:, None]
+            y = _sums(sketch, w, v, starts[lo : lo + GROUPS] - a)
             order = np.argsort(w, kind="stable")
-            ws = w[order]
-            first = np.flatnonzero(np.concatenate(([True], ws[1:] != ws[:-1])))
-            total[ws[first]] += np.add.reduceat(share[order], first, axis=0)
-            touched[ws[first]] = True
+            w, v, p = w[order], v[order], (p - p[0])[order]
+            first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(w)]):
+                total[w[i]] += v[i:j] @ y[p[i:j]]
+            touched[w[first]] = True
     some = np.flatnonzero(touched)
     if len(some):
         yield _vectors(some, total[some])
 
 
+def _sums(table: np.ndarray, word: np.ndarray, value: np.ndarray | None, heads: np.ndarray) -> np.ndarray:
+    """Sums of table rows, by value, over the segments of word that begin at heads; segments are short, so place by place."""
+    sizes = np.diff(np.concatenate((heads, [len(word)])))
+    order = np.argsort(-sizes, kind="stable")
+    at, left = heads[order], sizes[order]
+    rows = table[word[at]] if value is None else table[word[at]] * value[at, None]
+    for k in range(1, int(left[0])):
+        n = int(np.searchsorted(-left, -k))  # the segments with more than k words
+        more = table[word[at[:n] + k]]
+        rows[:n] += more if value is None else more * value[at[:n] + k, None]
+    out = np.empty_like(rows)
+    out[order] = rows
+    return out
+
+
 def _vectors(words: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], ["word", "v"])
 
@@ -233,10 +250,10 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
         lows = np.searchsorted(row, np.arange(len(ids)))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for shift, (heads, sizes) in zip(range(0, WINDOW, STEP), _windows(crow, cplace, cword, WINDOW, STEP)):
-            for lo in range(0, len(heads), 20_000):
-                h, n = heads[lo : lo + 20_000], sizes[lo : lo + 20_000]
+            for lo in range(0, len(heads), GROUPS):
+                h, n = heads[lo : lo + GROUPS], sizes[lo : lo + GROUPS]
                 a, z = h[0], h[-1] + n[-1]
-                x = np.add.reduceat(block.latent[cword[a:z]], h - a, axis=0)
+                x = _sums(block.latent, cword[a:z], None, h - a)
                 # The window's own length counts its words outside of the space too.
                 window = np.repeat(np.arange(len(h)), n)
                 cells, count = np.unique(window.astype(np.int64) * len(block.weight) + cword[a:z], return_counts=True)
