@@ -364,8 +364,8 @@ def s_positional_split(spark, sf_dir):
     return C.positional_split(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "held")
 
 
-@query("s_linspace_sample", """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS at, count(*) OVER (PARTITION BY source) AS n FROM documents) AS x
-WHERE n <= 8 OR list_contains(list_transform(range(0, 8), lambda i: floor(i * (n - 1) / 7)), at)""")
+@query("s_linspace_sample", """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents) AS x
+WHERE n <= 8 OR list_contains(list_transform(range(0, 8), lambda i: floor(i * (n - 1) / 7)), pos)""")
 def s_linspace_sample(spark, sf_dir):
     return C.evenly_spaced(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 8)
 
