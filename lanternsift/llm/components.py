@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("n"), F.least("u", "v").alias("m"))
     least = both.groupBy("n").agg(F.min("m").alias("r")).select("n", F.least("n", "r").alias("r"))
-    linked = both.join(least, "n")
+    linked = both.join(least.hint("merge"), "n")  # both grow with the data: never a broadcast
     if large:
         out = linked.where(F.col("m") > F.col("n")).select(F.col("m").alias("u"), F.col("r").alias("v"))
     else:

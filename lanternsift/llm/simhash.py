@@ -5,10 +5,9 @@ of r + 1 bits; the mask of a non-zero vector v keeps the positions whose vector
 are all dropped by at least one of the 2^(r+1) - 1 masks, so each pair within the radius meets in some table: no link
 is lost, whatever the data.
 
-Inside a table no pairs are formed. The members of a bucket that holds several fingerprints are expanded to the points
-one bit away on the dropped positions; two fingerprints at distance 2 share such a point and two that share one are at
-distance 2 or less, so each point links its members to the least of them. A bucket of n fingerprints costs O(n) rows,
-hot or not.
+No table's pairs are emitted. A small bucket gives the links that connect it, one a fingerprint; the members of a large
+one are expanded to the points half the radius away on the dropped positions, where those that belong together meet
+(see links). A bucket of n fingerprints costs O(n) rows, hot or not.
 
 Defined cases: a null or empty text has no words and fingerprint zero, and links like any other; a text of fewer words
 than a shingle is one shingle; repeated rows share a fingerprint and so a component; null doc_ids take part and are
@@ -18,6 +17,7 @@ never the component's id unless it holds nothing else; an empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from lanternsift.llm.components import components
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+#: Fingerprints of a bucket that are compared in place; a larger bucket goes by points.
+SMALL = 64
 #: Shingle hashes whose bits are counted at a time; bounds a worker's memory for any text.
 BLOCK = 1 << 17
 
@@ -71,20 +73,60 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
+def _pairs_within(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Buckets of SMALL fingerprints at most -> links that connect those of a bucket that the radius connects."""
+    for b in batches:
+        u, v = [], []
+        for fps in b.column(0):
+            x = np.sort(fps.values.to_numpy(zero_copy_only=False))
+            near = np.bitwise_count((x[:, None] ^ x[None, :]).view(np.uint64)) <= radius
+            left = np.ones(len(x), bool)
+            for i in range(len(x)):
+                if not left[i]:
+                    continue
+                left[i], front = False, [i]
+                while front:
+                    new = np.flatnonzero(near[front.pop()] & left)
+                    left[new] = False
+                    front += new.tolist()
+                    u += x[new].tolist()
+                    v += [int(x[i])] * len(new)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _points_about(batches: Iterator[pa.RecordBatch], masks: list[int], flips: int) -> Iterator[pa.RecordBatch]:
+    """fp and its points up to flips bits away on the positions that its table's mask drops."""
+    sets = []
+    for m in masks:
+        drops = [1 << i for i in range(64) if not m >> i & 1]
+        sets.append(np.array([sum(c) for k in range(flips + 1) for c in combinations(drops, k)], np.uint64).view(np.int64))
+    for b in batches:
+        for fp, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sets[t]), fp)), pa.array(sets[t] ^ np.int64(fp))], ["fp", "point"])
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints: enough to connect all that are within the radius of each other."""
-    if radius > 2:
-        raise ValueError("points one bit away connect fingerprints up to radius 2")
-    masks = covering_masks(radius)
-    table = lambda i, m: F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("b"))
-    rows = prints.select("fp", F.explode(F.array(*(table(i, m) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.t", "k.b")
-    busy = rows.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "b")
-    members = rows.join(busy, ["t", "b"])
-    drops = F.array(*(F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1)) for m in masks))
-    points = members.select("fp", "t", F.explode(F.get(drops, F.col("t"))).alias("flip"))
-    points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    """Edges (u, v) between distinct fingerprints: enough to connect all that the radius connects.
+
+    Buckets of SMALL fingerprints at most are compared in place. The members of larger ones are expanded to the points
+    half the radius away on the dropped positions: two fingerprints within the radius share such a point, two that
+    share one are within it, and each point links its members to the least of them.
+    """
+    if radius < 2 or radius % 2:
+        raise ValueError("the radius must be even: points lie half of it away")
+    masks, flips = covering_masks(radius), radius // 2
+    table = lambda i, m: F.struct(F.lit(i).alias("t"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key"))
+    rows = prints.select("fp", F.explode(F.array(*(table(i, m) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.t", "k.key")
+    busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Members of busy buckets are few; both ways read them.
+    members = settle(rows.join(busy.hint("merge"), "key"), release=True)
+    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+    near = small.mapInArrow(lambda it: _pairs_within(it, radius), "u bigint, v bigint")
+    points = members.where(F.col("n") > SMALL).select("fp", "t").mapInArrow(lambda it: _points_about(it, masks, flips), "fp bigint, point bigint")
     least = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).where("v < top").select("point", "v")
-    return points.join(least, "point").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v").distinct()
+    far = points.join(least.hint("merge"), "point").where(F.col("fp") != F.col("v")).select(F.col("fp").alias("u"), "v")
+    return near.union(far).distinct()
 
 
 def _signed(x: int) -> int:
