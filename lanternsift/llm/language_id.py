@@ -30,6 +30,7 @@ from lanternsift.llm.common import slim
 PER_LANG = 400
 BITS = 13
 UNKNOWN = "und"
+PAD = 3
 #: Bytes of text whose grams are looked up at a time.
 BLOCK = 1 << 21
 ROUNDS = 300
@@ -65,14 +66,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def clean(texts: pa.Array) -> pa.Array:
-    """Lower case, letters only, one blank between and around words."""
+    """Lower case, letters only, one blank between and around words, and PAD zero bytes, so that no gram meets the next text."""
     bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[^\pL]+", " ")
     blank = pa.scalar(" ", pa.large_string())
-    return pc.binary_join_element_wise(blank, pc.utf8_trim_whitespace(bare), blank, pa.scalar("", pa.large_string()))
+    return pc.binary_join_element_wise(blank, pc.utf8_trim_whitespace(bare), pa.scalar(" " + PAD * "\0", pa.large_string()), pa.scalar("", pa.large_string()))
 
 
 def _grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the three- and of the four-byte gram that starts at each byte; four more bytes must follow the last."""
+    """Buckets of the three- and of the four-byte gram that starts at each byte but the last PAD."""
     x = data.astype(np.uint32)
     v = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16)
     shift, mult = np.uint32(32 - BITS), np.uint32(0x9E3779B1)
@@ -85,24 +86,25 @@ def means(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     ready = clean(texts)
     offsets = np.frombuffer(ready.buffers()[1], np.int64)[ready.offset : ready.offset + len(ready) + 1]
     data = np.frombuffer(ready.buffers()[2] or b"", np.uint8)
-    lengths = np.diff(offsets)
+    lengths = np.diff(offsets) - PAD
     i = 0
     while i < len(lengths):
         j = i + 1
         while j < len(lengths) and offsets[j + 1] - offsets[i] <= BLOCK:
             j += 1
-        # A longer text is read in blocks of its own; the grams across a cut belong to the block before it.
-        for lo in range(int(offsets[i]), int(offsets[j]), BLOCK):
-            hi = min(lo + BLOCK, int(offsets[j]))
-            chunk = np.zeros(hi - lo + 3, np.uint8)
-            more = data[lo : min(hi + 3, int(offsets[j]))]
-            chunk[: len(more)] = more
-            three, four = _grams(chunk)
+        start, end = int(offsets[i]), int(offsets[j]) - PAD
+        for lo in range(start, end, BLOCK):  # a longer text is read in blocks
+            hi = min(lo + BLOCK, end) if j == i + 1 else end
+            three, four = _grams(data[lo : hi + PAD])
             rows = table[three] + table[four]
             if j == i + 1:
                 out[i] += rows.sum(axis=0)
-            else:
-                out[i:j] = np.add.reduceat(rows, offsets[i:j] - lo, axis=0)
+                continue
+            inner = offsets[i + 1 : j] - lo
+            for k in range(1, PAD + 1):
+                rows[inner - k] = 0
+            out[i:j] = np.add.reduceat(rows, offsets[i:j] - lo, axis=0)
+            break
         i = j
     return out / np.maximum(2 * lengths, 1)[:, None]
 
@@ -111,7 +113,7 @@ def _histogram(texts: pa.Array) -> np.ndarray:
     """Gram averages themselves, for the bounded texts of a fit."""
     rows = np.zeros((len(texts), 1 << BITS), np.float32)
     for k, t in enumerate(clean(texts).to_pylist()):
-        three, four = _grams(np.frombuffer(t.encode() + b"\0\0\0", np.uint8))
+        three, four = _grams(np.frombuffer(t.encode(), np.uint8))
         rows[k] = (np.bincount(three, minlength=1 << BITS) + np.bincount(four, minlength=1 << BITS)) / max(2 * len(three), 1)
     return rows
 
