@@ -30,6 +30,8 @@ from lanternsift.llm.components import components
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+#: Draws of position vectors that are tried for the masks.
+DRAWS = 100
 #: Fingerprints of a bucket that are compared in place; a larger bucket goes by points.
 SMALL = 64
 #: Shingle hashes whose bits are counted at a time; bounds a worker's memory for any text.
@@ -37,10 +39,14 @@ BLOCK = 1 << 17
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
-    """2^(radius+1) - 1 masks; whatever radius positions differ, one mask keeps none of them."""
-    width = radius + 1
-    vectors = [i % (2**width - 1) + 1 for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2**width)]
+    """2^(radius+1) - 1 masks; whatever radius positions differ, one mask keeps none of them.
+
+    That holds for any vectors of the positions; of some fixed draws those are taken whose poorest mask keeps most.
+    """
+    n = 2 ** (radius + 1)
+    draws = [[i % (n - 1) + 1 for i in range(bits)]] + [np.random.default_rng(seed).integers(1, n, bits).tolist() for seed in range(DRAWS)]
+    masks = ([sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, n)] for vectors in draws)
+    return max(masks, key=lambda found: min(m.bit_count() for m in found))
 
 
 def _hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
