@@ -36,8 +36,9 @@ def manifest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/labels.jsonl")):
         return json_lines(spark, f"{folder}/labels.jsonl", schema)
     whole = spark.read.text(f"{folder}/manifest.json", wholetext=True)
-    item = f"struct<{schema.replace(' ', ':', 1) if ',' not in schema else ','.join(':'.join(p.split(None, 1)) for p in schema.split(','))}>"
-    rows = F.coalesce(F.from_json("value", f"array<{item}>"), F.from_json("value", f"struct<rows:array<{item}>>")["rows"])
+    item = "struct<" + ",".join(":".join(field.split(None, 1)) for field in schema.split(",")) + ">"
+    # An object read as an array would be a row of NULLs, so the first character decides.
+    rows = F.from_json("value", f"struct<rows:array<{item}>>")["rows"]
     as_list = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(rows)
     return whole.select(F.explode(as_list).alias("r")).select("r.*")
 
