@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternsift.functions.fence import behind, fenced
+
 
 def normal_text(text: Column) -> Column:
     """Trimmed, white space runs as one blank, case folded (sharp s as ss)."""
@@ -39,9 +41,9 @@ def containing(docs: DataFrame, needles: DataFrame, words: int = 8) -> DataFrame
 
     def runs(df: DataFrame, key: str) -> DataFrame:
         w = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
-        listed = df.select(F.col(key), w.alias("w")).where(F.size("w") >= words)
+        listed = fenced(df.select(F.col(key), "text"), {"w": w}).where(F.col("_fence") & (F.size("w") >= words))
         gram = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(words)), " "))
-        return listed.select(key, F.explode(F.array_distinct(gram)).alias("gram"))
+        return listed.select(key, F.explode(behind(F.array_distinct(gram))).alias("gram"))
 
     probe = runs(needles, "item_id")
     return runs(docs, "doc_id").join(probe, "gram").select("doc_id", "item_id").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternsift.functions.fence import behind, fenced
+
 BUCKETS = 1 << 17
 MAX_TOKENS = 768
 MAX_FEATURES = 512
@@ -31,7 +33,7 @@ def normal_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
 def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """key and names: the distinct word, affix, bigram, shape and length features of each text."""
     safe = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(key, safe.alias("_t"), normal_tokens(safe, max_tokens).alias("_w"))
+    base = fenced(docs.select(key, safe.alias("_t")), {"_w": normal_tokens(F.col("_t"), max_tokens)})
     w, t = F.col("_w"), F.col("_t")
     plain = F.filter(F.transform(w, lambda x: F.regexp_replace(x, "[^0-9a-z]+", "")), lambda x: x.rlike("^[a-z]{6,}$"))
     pairs = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.lit("b:"), F.get(w, i), F.lit("|"), x))
@@ -43,16 +45,16 @@ def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
         F.transform(plain, lambda x: F.concat(F.lit("s:"), F.right(x, F.lit(5)))),
         pairs, shapes, length,
     )
-    return base.select(key, F.array_distinct(named).alias("names"))
+    return base.select(key, behind(F.array_distinct(named)).alias("names"))
 
 
 def hashed(names: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, most: int = MAX_FEATURES) -> DataFrame:
     """key and features: sorted distinct CRC-32 buckets, thinned evenly to most."""
     ids = F.array_sort(F.array_distinct(F.transform("names", lambda n: F.crc32(n.cast("binary")).bitwiseAND(F.lit(buckets - 1)))))
-    base = names.select(key, ids.alias("_f"))
+    base = fenced(names.select(key, "names"), {"_f": ids})
     f, n = F.col("_f"), F.size("_f")
     thin = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(f, F.floor(i * (n / F.lit(float(most)))).cast("int")))
-    return base.select(key, F.when(n > most, thin).otherwise(f).alias("features"))
+    return base.select(key, behind(F.when(n > most, thin).otherwise(f)).alias("features"))
 
 
 def exploded(named: DataFrame, key: str = "doc_id", column: str = "names") -> DataFrame:

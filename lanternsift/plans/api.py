@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanternsift.functions.fence import behind, fenced
 from lanternsift.functions.names import person_names, tokens
 from lanternsift.functions.spans import empty_spans
 from lanternsift.operators.classify import classify, report_json
@@ -18,14 +19,14 @@ def scan(docs: DataFrame, text: str = "text", detectors: list[Detector] | None =
     A narrow projection: guards and tokens are columns of their own, so each is computed once a row.
     """
     safe = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns({"_low": F.lower(safe), "_run": digit_run(safe), "_toks": tokens(safe) if names else F.lit(None)})
+    base = fenced(docs, {"_low": F.lower(safe), "_run": digit_run(safe), "_toks": tokens(safe) if names else F.lit(None)})
     found = candidates(safe, detectors or registry(as_of), True, F.col("_low"), F.col("_run"))
     if names:
         found = F.concat(found, F.when(F.size("_toks") > 0, person_names(safe, F.col("_toks"))).otherwise(empty_spans()))
     if extra is not None:
         found = F.concat(found, F.coalesce(extra, empty_spans()))
-    base = base.withColumn("_found", found)
-    return base.withColumn("entities", F.when(F.size("_found") > 0, resolve(F.col("_found"))).otherwise(empty_spans())).drop("_low", "_run", "_toks", "_found")
+    base = fenced(base.withColumn("_found", behind(found)).drop("_fence"), {})
+    return base.withColumn("entities", F.when(F.col("_fence") & (F.size("_found") > 0), resolve(F.col("_found"))).otherwise(empty_spans())).drop("_low", "_run", "_toks", "_found", "_fence")
 
 
 def report(docs: DataFrame, text: str = "text", **options) -> DataFrame:
