@@ -82,6 +82,19 @@ def test_isotonic_pools(spark):
     assert [(a, b) for a, b, _ in got] == [(0, 2), (3, 3), (4, 5)] and got[0][2] == pytest.approx(10 / 3)
 
 
+def test_calibration_and_bootstrap(spark):
+    rows = [("t", s / 10, s / 10 > 0.45, True) for s in range(10)] + [("u", 0.5, True, True)]
+    df = spark.createDataFrame(rows, "tag string, score double, gold boolean, complete boolean")
+    knots = T.isotonic(df, "tag")
+    got = {(r["tag"], r["score"]): r["calibrated"] for r in T.calibrated(df, knots, "tag").collect()}
+    assert got["t", 0.0] == 0.0 and got["t", 0.9] == 1.0 and got["u", 0.5] == 1.0
+    between = T.calibrated(spark.createDataFrame([("t", 0.45), ("t", 2.0), ("new", 0.3)], "tag string, score double"), knots, "tag").collect()
+    assert sorted(round(r["calibrated"], 6) for r in between) == [0.3, 0.5, 1.0]
+    boot = {r["tag"]: r for r in T.bootstrap(spark.createDataFrame([("a", 80, 20), ("b", 0, 0)], "tag string, tp int, fn int"), "tag").collect()}
+    assert boot["a"]["recall"] == 0.8 and 0.7 < boot["a"]["low"] < 0.8 < boot["a"]["high"] < 0.9 and boot["b"]["recall"] is None
+    assert T.bootstrap(spark.createDataFrame([("a", 80, 20)], "tag string, tp int, fn int"), "tag").first() == boot["a"]
+
+
 def test_features_hide_values_and_are_stable(spark):
     docs = spark.createDataFrame([(1, "SSN 123-45-6789 filed"), (2, "SSN 987-65-4321 filed"), (3, None), (4, "w " * 5000 + "x" * 50)], "doc_id int, text string")
     got = {r["doc_id"]: r["features"] for r in K.hashed(K.feature_names(docs), most=16).collect()}
