@@ -27,12 +27,22 @@ TITLES = frozenset("dr miss mr mrs ms mx prof sir".split())
 NOT_LAST = frozenset("and at avenue but by city county for from hospital in inc is it llc of on or road street the to university was with".split())
 TOKEN = r"[A-Z][.]|[A-Za-z]+(?:'[A-Za-z]+)?|(?U)\d+"
 CONFIDENCE = 0.80
-GUARD = r"(?i)\b(?:" + "|".join(sorted(FIRST | TITLES)) + r")\b"
 
 
-def tokens(text: Column) -> Column:
-    """Name tokens with places, where a first name or a title occurs at all."""
-    return F.when(text.rlike(GUARD), matches(text, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+def _tree(words: list[str]) -> str:
+    """Alternation of sorted words by common first letters: a word start tries a few branches instead of all words."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    return "(?:" + "|".join(h + (_tree(rest) if rest != [""] else "") for h, rest in heads.items() if h) + ("|)" if "" in heads else ")")
+
+
+GUARD = r"\b" + _tree(sorted(FIRST | TITLES)) + r"\b"
+
+
+def tokens(text: Column, low: Column) -> Column:
+    """Name tokens with places, where a first name or a title occurs at all. low: the text in lower case."""
+    return F.when(low.rlike(GUARD), matches(text, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
 def _among(c: Column, words: frozenset[str]) -> Column:

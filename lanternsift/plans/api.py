@@ -19,7 +19,7 @@ def scan(docs: DataFrame, text: str = "text", detectors: list[Detector] | None =
     A narrow projection: guards and tokens are columns of their own, so each is computed once a row.
     """
     safe = F.coalesce(F.col(text), F.lit(""))
-    base = fenced(docs, {"_low": F.lower(safe), "_run": digit_run(safe), "_toks": tokens(safe) if names else F.lit(None)})
+    base = fenced(docs, {"_low": F.lower(safe), "_run": digit_run(safe), "_toks": tokens(safe, F.lower(safe)) if names else F.lit(None)})
     found = candidates(safe, detectors or registry(as_of), True, F.col("_low"), F.col("_run"))
     if names:
         found = F.concat(found, F.when(F.size("_toks") > 0, person_names(safe, F.col("_toks"))).otherwise(empty_spans()))
