@@ -156,7 +156,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one of each component: that of its id, and of repeated rows of this id the first by text."""
-    groups = near_duplicates(docs, shingle, radius)
+    return firsts(docs, near_duplicates(docs, shingle, radius))
+
+
+def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that groups (doc_id, component_id) names a component after; of repeated rows the first by text."""
     stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     stays = stays.select(F.col("doc_id").alias("_stays"), "_rows")
     kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")))
