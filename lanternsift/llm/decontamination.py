@@ -8,7 +8,8 @@ For a block
 3. a randomised SVD of the TF-IDF passages (Halko, Martinsson and Tropp, 2011) finds the latent space: every task
    multiplies its passages with the sketch and adds up its share of the product, the driver orthonormalises a matrix of
    words by RANK;
-4. windows of all documents are projected, and those with a large cosine to an item's passage become candidates;
+4. windows of all documents are projected, and those with a large cosine to an item's passage become candidates, or
+   with a large share of the passage's length, since a common item's words weigh little beside rare ones;
 5. a candidate is confirmed by the longest common subsequence of words with the passage and by its answer: the share
    of the passage's TF-IDF weight, mostly in its rare words, that the window holds.
 
@@ -39,16 +40,15 @@ WINDOW, STEP = 64, 32
 RANK = 256
 OVERSAMPLE = 32
 POWER = 1
-#: Words in more than this share of all documents weigh nothing, unless a passage would keep fewer than FEW words.
-COMMON = 0.02
-FEW = 4
 MIN_COSINE = 0.5
 MIN_LCS = 0.7
 MIN_ANSWER = 0.7
 #: Characters of text that are split at a time.
 BLOCK_CHARS = 4_000_000
 #: Passages or windows whose vectors are formed at a time.
-GROUPS = 8192
+GROUPS = 2048
+#: Documents whose words are weighed at a time.
+ROWS = 1000
 SEED = 11
 
 
@@ -78,12 +78,8 @@ class Block:
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 1.0)) + 1.0
-        rare = df <= COMMON * max(n_docs, 1)
-        for p in self.passages:  # a passage of common words only is told by the least common of them
-            own = np.unique(p)
-            if rare[own].sum() < FEW:
-                rare[own[np.argsort(df[own], kind="stable")[:FEW]]] = True
-        self.weight = np.where(rare, self.idf, 0.0).astype(np.float32)
+        # No word is without weight: an item that leaked into many documents makes its own words common.
+        self.weight = self.idf.astype(np.float32)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of all passages end to end, and where each passage starts."""
@@ -96,8 +92,9 @@ class Block:
         flat, starts = self.rows()
         full = np.add.reduceat(self.latent[flat], starts, axis=0)
         self.queries = full / np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-9)
+        self.norms = np.array([_norm(p, self.weight) for p in self.passages], np.float32)
         # What the space keeps of a passage; a window can't be expected to keep more.
-        self.kept = np.array([np.linalg.norm(f) / max(_norm(p, self.weight), 1e-9) for f, p in zip(full, self.passages)], np.float32)
+        self.kept = np.linalg.norm(full, axis=1) / np.maximum(self.norms, 1e-9)
         self.answer = [{int(w): float(self.weight[w]) for w in np.unique(p)} for p in self.passages]
 
 
@@ -131,6 +128,7 @@ def _places(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> Iterato
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
             out = pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.ListArray.from_arrays(offsets, pa.array(step.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(words))], ["doc_id", "steps", "words"])
             yield out.filter(pa.array(some))
+        pa.default_memory_pool().release_unused()
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,6 +141,13 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes), words.flatten().to_numpy()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     df = np.zeros(size, np.int64)
     for b in batches:
@@ -164,7 +169,7 @@ def _windows(row: np.ndarray, place: np.ndarray, word: np.ndarray, width: int, s
 def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     """This task's share of A' A S for unit TF-IDF passages A, as rows of word and vector."""
     total, touched = np.zeros_like(sketch, dtype=np.float64), np.zeros(len(weight), bool)
-    for b in batches:
+    for b in _slices(batches):
         row, place, word = _flat(b)
         keep = weight[word] > 0
         row, place, word = row[keep], place[keep], word[keep]
@@ -239,8 +244,8 @@ def _lcs(a: list[int], b: np.ndarray) -> int:
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    limit = MIN_COSINE * block.kept
-    for b in batches:
+    limit, square = MIN_COSINE * block.kept, block.weight**2
+    for b in _slices(batches):
         row, place, word = _flat(b)
         content = np.flatnonzero(block.weight[word] > 0)
         ids, out = b.column(0), []
@@ -254,12 +259,17 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
                 h, n = heads[lo : lo + GROUPS], sizes[lo : lo + GROUPS]
                 a, z = h[0], h[-1] + n[-1]
                 x = _sums(block.latent, cword[a:z], None, h - a)
-                # The window's own length counts its words outside of the space too.
+                dot = x @ block.queries.T
+                # A window's length is that of its distinct words at least; only where that may do are repeats counted.
+                least = np.sqrt(np.add.reduceat(square[cword[a:z]], h - a))
+                some = (dot >= limit * np.minimum(least[:, None] * 0.999, block.norms)).any(axis=1)
                 window = np.repeat(np.arange(len(h)), n)
-                cells, count = np.unique(window.astype(np.int64) * len(block.weight) + cword[a:z], return_counts=True)
+                own = some[window]
+                cells, count = np.unique(window[own].astype(np.int64) * len(block.weight) + cword[a:z][own], return_counts=True)
                 norm = np.sqrt(np.bincount(cells // len(block.weight), (block.weight[cells % len(block.weight)] * count) ** 2, len(h)))
-                cosine = (x @ block.queries.T) / norm[:, None]
-                for i, q in zip(*np.nonzero(cosine >= limit)):
+                cosine = dot / np.where(some, norm, np.inf)[:, None]
+                # Rare words beside a hot item are most of the window's length: as much of the passage's own length will do.
+                for i, q in zip(*np.nonzero((cosine * np.maximum(norm[:, None] / block.norms, 1.0) >= limit) & some[:, None])):
                     r = int(crow[h[i]])
                     key = (r, block.owner[q])
                     own = block.passages[q]
