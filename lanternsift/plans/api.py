@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanternsift.functions.fence import behind, fenced
 from lanternsift.functions.names import person_names, tokens
 from lanternsift.functions.spans import empty_spans
+from lanternsift.operators import scanner
 from lanternsift.operators.classify import classify, report_json
 from lanternsift.operators.detectors import Detector, candidates, digit_run, registry
 from lanternsift.operators.resolve import resolve
@@ -16,7 +17,20 @@ from lanternsift.operators.resolve import resolve
 def scan(docs: DataFrame, text: str = "text", detectors: list[Detector] | None = None, names: bool = True, extra: Column | None = None, as_of: Column | None = None) -> DataFrame:
     """docs with entities, the resolved spans of each row. extra: spans of a learned tagger to be fused in.
 
-    A narrow projection: guards and tokens are columns of their own, so each is computed once a row.
+    A narrow projection: one Arrow pass over the text column (operators.scanner). Detectors that aren't registered ones
+    go by columns.
+    """
+    keys = None if detectors is None else scanner.keys_of(detectors)
+    if detectors is not None and keys is None:
+        return scan_columns(docs, text, detectors, names, extra, as_of)
+    year = F.coalesce(F.year(as_of if as_of is not None else F.current_date()), F.lit(0))
+    return docs.withColumn("entities", scanner.entities(F.col(text), year, keys, names, extra))
+
+
+def scan_columns(docs: DataFrame, text: str = "text", detectors: list[Detector] | None = None, names: bool = True, extra: Column | None = None, as_of: Column | None = None) -> DataFrame:
+    """The scan in built-in expressions: the form for detectors made by callers, and what the Arrow pass is tested against.
+
+    Guards and tokens are columns of their own, so each is computed once a row.
     """
     safe = F.coalesce(F.col(text), F.lit(""))
     base = fenced(docs, {"_low": F.lower(safe), "_run": digit_run(safe), "_toks": tokens(safe, F.lower(safe)) if names else F.lit(None)})
@@ -44,4 +58,4 @@ def any_found(scanned: DataFrame) -> DataFrame:
     return scanned.agg(F.coalesce(F.bool_or(F.size("entities") > 0), F.lit(False)).alias("found"))
 
 
-__all__ = ["any_found", "classify", "report", "report_json", "scan", "spans"]
+__all__ = ["any_found", "classify", "report", "report_json", "scan", "scan_columns", "spans"]

@@ -1,10 +1,12 @@
 """Must fire and must not fire, offsets, guards, and a Python version of the scan's pattern half."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanternsift.operators import scanner
 from lanternsift.operators.detectors import candidates, registry
 from lanternsift.plans import api
 
@@ -66,3 +68,50 @@ def test_patterns_agree_with_python(spark):
         python = re.compile(re.sub(r"\(\?i?U?\)", "", d.pattern), flags)
         got = {r["i"]: r["n"] for r in frame.select("i", F.size(F.regexp_extract_all("text", F.lit(d.pattern), F.lit(0))).alias("n")).collect()}
         assert all(got[i] == len(python.findall(t)) for i, t in enumerate(texts)), d.name
+
+
+ODD = [
+    "İ mail x@y.org, İİ Dr. Jane Doe, İ account no: 12345678", "a@b.com@c.org x..y@z.de @@ a@b", "fax 415-555-2671 order 4155552671 415 555 2671 (415)555-2671",
+    "born 02/03/1980 03/04/1981, date of  birth March 5 1979, dob 5 March 1979 2001-02-03", "1:2:3 a:b::c 12345:6:7:8 ::ffff:1 x::1 fe80::1: 1:2:3:4:5:6:7:8 .::2", "00-1A-2b-3c-4d-5e-00-1A-2b-3c-4d-5e 00:1a:2b:3c:4d:5e",
+    "12 Oak Street 13 Elm  Tree Road, Boston 1234567 Oak Street 5 Way Way", "Jane Jane Doe Mr Smith mrs. John Smith O'Mary Smith Mary  Smith Mary-Smith Mary J. Hill Mary j. Hill MARY SMITH mary Smith Dr. Mary", "abcdefg1 ABCDEF12 ABCDEF12345 ABCDEF1234 xABCDEFGHIJ1",
+    "http://a http://b.c/d. HTTPS://X.Y/z) www.www.x.org", "4111-1111-1111-1111 4111 1111-1111 1111 41111111111111111111 123-45-6789-1", "10.0.0.1.5 1.2.3.4. release 1.2.3.4 v 1.2.3.4 300.1.1.1", "DL: X99812 DL#DL: Y1234 driver's license no. D1 driver license DRIVER LICENSE: 12345",
+    "1M8GDM9AXKP042788 1m8gdm9axkp042788 x1M8GDM9AXKP042788", "ein 12-3456789 tin12-3456789 EIN: 123456789 taxpayer id number 12-3456789", "MRN MRN: 12345 chart no. 4444 medical record number: A-12345", "health plan member id: 12345 medical subscriber # 99999a health   insurance member no: 123",
+]
+
+
+def test_scan_equals_its_column_form(spark):
+    """The Arrow pass tries patterns at anchors only; the column form searches whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    texts = [r["text"] for r in docs.collect()] + [t for t, _ in FIRES] + ODD + [" ".join(ODD), "\n".join(t or "" for t, _ in FIRES)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    day = F.lit("2024-01-01").cast("date")
+    got, want = ({r["doc_id"]: r["entities"] for r in f(rows, as_of=day).collect()} for f in (api.scan, api.scan_columns))
+    assert {i: texts[i] for i in got if got[i] != want[i]} == {}
+    assert sum(map(len, got.values())) > 100
+
+
+def test_custom_detectors_go_by_columns(spark):
+    from dataclasses import replace
+
+    own = replace(registry()[0], type="URL")
+    rows = spark.createDataFrame([("to a@b.org",)], "text string")
+    assert scanner.keys_of([own]) is None and [e["type"] for e in api.scan(rows, detectors=[own]).first()["entities"]] == ["URL"]
+
+
+def test_urls_are_clipped():
+    (hit,) = scanner.find("see http://" + "a" * 5000, ["url"], False, 2024)
+    assert hit[2] - hit[1] == 6 + scanner.URL_CLIP
+
+
+def test_scan_is_linear():
+    def took(text):
+        t = time.perf_counter()
+        scanner.resolve(scanner.find(text, list(scanner.REGISTRY), True, 2024))
+        return time.perf_counter() - t
+
+    words = "lorem ipsum dolor sit amet consectetur " * 7000
+    plain = min(took(words) for _ in range(3))
+    assert min(took(words + "Jane Doe") for _ in range(3)) < 3 * plain + 0.05
+    assert min(took("a@b.org Jane Doe 415-555-2671 " * 4000) for _ in range(2)) < 20
+    for hostile in ("0" * 200_000, "a" * 200_000, ":" * 100_000, "1 " * 100_000, "-" * 100_000, "a@" * 50_000, "Jane " * 40_000):
+        assert took(hostile) < 20
