@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,29 +39,44 @@ def wide_hash(c: Column) -> tuple[Column, Column]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares between executors; a local one only where none is set."""
+    """A fresh path in the folder that the cluster shares between executors; a local one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lanternsift-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None, release: bool = False) -> DataFrame:
+#: Spark deletes the shuffle files of a query under this setting as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write to shared storage and read again: lineage ends there, and a lost executor costs nothing.
 
-    release: let go of the finished job's shuffle files at once instead of at the driver's next collection.
+    What is read again never goes back to the shuffle files of the write, so they are deleted with it.
     """
     spark = df.sparkSession
     path = path or shared_dir(spark)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    for _ in range(3 if release else 0):  # the cleaner works on what collections before it have found
-        spark._jvm.System.gc()
-        time.sleep(0.4)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str, rows_each: int) -> DataFrame:
+    """Settled rows by key in enough partitions for what each row becomes; a handful of small files would be two tasks."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-df.count() // rows_each))
+    return df.repartition(n, key)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that settle() wrote."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

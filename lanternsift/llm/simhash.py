@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternsift.llm.common import settle, slim
+from lanternsift.llm.common import settle, slim, spread
 from lanternsift.llm.components import components
 
 SHINGLE = 3
@@ -34,6 +34,8 @@ SEED = 42
 DRAWS = 100
 #: Fingerprints of a bucket that are compared in place; a larger bucket goes by points.
 SMALL = 64
+#: Rows over all tables that a task makes of its fingerprints.
+ROWS_EACH = 4_000_000
 #: Shingle hashes whose bits are counted at a time; bounds a worker's memory for any text.
 BLOCK = 1 << 17
 
@@ -123,10 +125,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("the radius must be even: points lie half of it away")
     masks, flips = covering_masks(radius), radius // 2
     table = lambda i, m: F.struct(F.lit(i).alias("t"), F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))).alias("key"))
-    rows = prints.select("fp", F.explode(F.array(*(table(i, m) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.t", "k.key")
+    rows = spread(prints, "fp", ROWS_EACH // len(masks)).select("fp", F.explode(F.array(*(table(i, m) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.t", "k.key")
     busy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Members of busy buckets are few; both ways read them.
-    members = settle(rows.join(busy.hint("merge"), "key"), release=True)
+    members = settle(rows.join(busy.hint("merge"), "key"))
     small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
     near = small.mapInArrow(lambda it: _pairs_within(it, radius), "u bigint, v bigint")
     points = members.where(F.col("n") > SMALL).select("fp", "t").mapInArrow(lambda it: _points_about(it, masks, flips), "fp bigint, point bigint")
