@@ -46,27 +46,56 @@ COMBOS = (
     (("DATE_DOB", "PHONE_US"), 8),
 )
 
-#: Identifier type to document tag; an IP address is told apart by its text.
-TAGS = {
-    "ACCOUNT_NUMBER": "sensitive_pci_account_number",
-    "ADDRESS": "sensitive_pii_address",
-    "BANK_ROUTING": "sensitive_pci_routing_number",
-    "CREDIT_CARD": "sensitive_pci_card_number",
-    "DATE_DOB": "sensitive_pii_date_of_birth",
-    "EMAIL": "sensitive_pii_email",
-    "FAX_NUMBER": "sensitive_pii_fax",
-    "HEALTH_PLAN_ID": "sensitive_phi_health_plan_id",
-    "MAC_ADDRESS": "sensitive_pii_mac_address",
-    "MRN": "sensitive_phi_medical_record_number",
-    "PERSON_NAME": "sensitive_pii_name",
-    "PHONE_US": "sensitive_pii_phone",
-    "SSN": "sensitive_pii_ssn",
-    "SWIFT_BIC": "sensitive_pci_swift",
-    "TAX_ID": "sensitive_pii_tax_id",
-    "URL": "sensitive_pii_url",
-    "US_DRIVER_LICENSE": "sensitive_pii_driver_licence",
-    "VEHICLE_ID": "sensitive_pii_vehicle_id",
-}
+def _tags(lines: str) -> dict[str, tuple[str, ...]]:
+    """TYPE=name,name ... after a vertical."""
+    out: dict[str, tuple[str, ...]] = {}
+    for line in lines.strip().splitlines():
+        vertical, *pairs = line.split()
+        for pair in pairs:
+            kind, names = pair.split("=")
+            out[kind] = tuple(f"sensitive_{vertical}_{n}" for n in names.split(","))
+    return out
+
+
+#: Identifier type to its document tags; an IP address is told apart by its text.
+TAGS = _tags("""
+pii ADDRESS=address,street_number_and_name DATE_DOB=date_of_birth_dob EMAIL=email GEO_COORDINATE=geolocation MAC_ADDRESS=mac_address PERSON_NAME=full_name PHONE_US=phone_number SSN=social_security_number
+pii US_DRIVER_LICENSE=driver_s_license_number USER_ID=username VEHICLE_ID=vehicle_identification_number_vin
+pci ACCOUNT_NUMBER=bank_account_number BANK_ROUTING=routing_number CREDIT_CARD=credit_card,credit_card_number SWIFT_BIC=swift_code TAX_ID=individual_taxpayer_identification_number_itin
+phi HEALTH_PLAN_ID=health_plan_beneficiary_number MRN=medical_record_number_mrn
+""")
+
+
+def _coarse(lines: str) -> dict[str, str]:
+    """tag: the coarse names that stand for it."""
+    pairs = (line.split(": ") for line in lines.strip().splitlines())
+    return {name: f"sensitive_{tag}" for tag, names in pairs for name in names.split("; ")}
+
+
+#: Coarse entity names of positive-only sources to document tags.
+COARSE = _coarse("""
+pci_bank_account_number: bank account; bank account number
+pci_credit_card_number: credit card; credit card number
+pci_iban: iban
+pci_individual_taxpayer_identification_number_itin: itin; taxpayer identification number
+phi_health_plan_beneficiary_number: health plan beneficiary number
+phi_medical_record_number_mrn: medical record number; mrn
+phi_patient_id_number: patient id
+pii_address: address
+pii_driver_s_license_number: driver license; drivers license; driver's license
+pii_email: email; email address
+pii_full_name: full name
+pii_military_identification_number: military id
+pii_passport_number: passport; passport number
+pii_password: password
+pii_personal_identification_number_pin: pin
+pii_phone_number: phone; phone number
+pii_social_security_number: social security number; ssn
+pii_state: state
+pii_street_number_and_name: street address
+pii_visa_number: visa; visa number
+pii_zip_code: zip; zip code
+""")
 
 
 def types_table(spark: SparkSession) -> DataFrame:

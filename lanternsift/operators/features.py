@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lanternsift.functions.fence import behind, fenced
 
 BUCKETS = 1 << 17
-MAX_TOKENS = 768
-MAX_FEATURES = 512
+#: Named read windows: characters, tokens and features that a profile keeps. Whole texts are read unless one is asked for.
+PROFILES = {"fast": (1_000, 768, 512), "standard": (4_000, 768, 512), "deep": (12_000, 2_048, 1_024)}
 _RUN = r"[0-9]+(?:[/.:-][0-9]+){0,5}"
 TOKEN = rf"[a-zA-Z][a-zA-Z0-9’'_-]{{0,39}}|{_RUN}"
 _IP = r"[0-9]{1,3}"
@@ -24,13 +24,14 @@ SHAPES = {
 }
 
 
-def normal_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
-    """Tokens in lower case with digits as 0; values don't survive, shapes do."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, max_tokens)
+def normal_tokens(text: Column, max_tokens: int | None = None) -> Column:
+    """Tokens in lower case with digits as 0; values don't survive, shapes do. All of a text's, or the first max_tokens."""
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    found = found if max_tokens is None else F.slice(found, 1, max_tokens)
     return F.transform(found, lambda t: F.regexp_replace(F.replace(F.lower(t), F.lit("’"), F.lit("'")), "[0-9]", "0"))
 
 
-def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: int | None = None) -> DataFrame:
     """key and names: the distinct word, affix, bigram, shape and length features of each text."""
     safe = F.coalesce(F.col(text), F.lit(""))
     base = fenced(docs.select(key, safe.alias("_t")), {"_w": normal_tokens(F.col("_t"), max_tokens)})
@@ -48,15 +49,38 @@ def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_
     return base.select(key, behind(F.array_distinct(named)).alias("names"))
 
 
-def hashed(names: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, most: int = MAX_FEATURES) -> DataFrame:
-    """key and features: sorted distinct CRC-32 buckets, thinned evenly to most."""
+def hashed(names: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, most: int | None = None) -> DataFrame:
+    """key and features: sorted distinct CRC-32 buckets, thinned evenly to most where that is given."""
     ids = F.array_sort(F.array_distinct(F.transform("names", lambda n: F.crc32(n.cast("binary")).bitwiseAND(F.lit(buckets - 1)))))
+    if most is None:
+        return names.select(key, ids.alias("features"))
     base = fenced(names.select(key, "names"), {"_f": ids})
     f, n = F.col("_f"), F.size("_f")
     thin = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(f, F.floor(i * (n / F.lit(float(most)))).cast("int")))
     return base.select(key, behind(F.when(n > most, thin).otherwise(f)).alias("features"))
 
 
+def profiled(docs: DataFrame, profiles: dict[str, tuple[int, int, int]] | None = None, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """key, profile and features of every read window, from one read of the table."""
+    table = F.array(*(F.struct(F.lit(n).alias("profile"), F.lit(c).alias("chars")) for n, (c, _, _) in sorted((profiles or PROFILES).items())))
+    each = docs.select(key, F.col(text).alias("text"), F.explode(table).alias("p")).select(key, F.left("text", F.col("p.chars")).alias("text"), F.col("p.profile").alias("profile"))
+    out = None
+    for name, (_, tokens, most) in sorted((profiles or PROFILES).items()):
+        part = each.where(F.col("profile") == name)
+        rows = hashed(feature_names(part, key, "text", tokens), key, buckets, most).withColumn("profile", F.lit(name))
+        out = rows if out is None else out.union(rows)
+    return out.select(key, "profile", "features")
+
+
+def csr(features: DataFrame, key: str = "doc_id") -> tuple:
+    """indptr, indices and keys of a bounded part of features, for linear algebra in one place; a corpus stays a table."""
+    import numpy as np
+
+    rows = features.orderBy(key).select(key, "features").toArrow()
+    sizes = [len(f) for f in rows["features"].to_pylist()]
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.array([i for f in rows["features"].to_pylist() for i in f], np.int32), rows[key].to_numpy()
+
+
 def exploded(named: DataFrame, key: str = "doc_id", column: str = "names") -> DataFrame:
     return named.select(key, F.explode(column).alias("feature"))
 

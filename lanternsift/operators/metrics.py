@@ -37,18 +37,25 @@ def prf(counts: DataFrame, by: str = "type", beta: float = 2.0) -> DataFrame:
 
 
 def partial_counts(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """type, tp: gold spans in order each take the first free overlapping prediction of their type."""
+    """type, gold, tp, fp, fn: gold spans in order each take the first free overlapping prediction of their type.
+
+    A taken prediction is one row: others of the same place stay free.
+    """
     side = lambda df, name: df.groupBy("doc_id", "type").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(name))
-    both = side(gold, "g").join(side(pred, "p"), ["doc_id", "type"])
+    both = side(gold, "g").join(side(pred, "p"), ["doc_id", "type"], "full_outer")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    both = both.select("type", F.coalesce(F.col("g").cast("array<struct<start:int,end:int>>"), none).alias("g"), F.coalesce(F.col("p").cast("array<struct<start:int,end:int>>"), none).alias("p"))
     init = F.struct(F.col("p").alias("free"), F.lit(0).alias("n"))
 
     def step(acc: Column, g: Column) -> Column:
-        meets = lambda s: (s["start"] < g["end"]) & (g["start"] < s["end"])
-        first = F.get(F.filter(acc["free"], meets), F.lit(0))
-        left = F.filter(acc["free"], lambda s: ~s.eqNullSafe(first))
+        meets = F.transform(acc["free"], lambda s, i: F.when((s["start"] < g["end"]) & (g["start"] < s["end"]), i))
+        first = F.array_min(meets)
+        left = F.filter(acc["free"], lambda s, i: i != first)
         return F.when(first.isNull(), acc).otherwise(F.struct(left.alias("free"), (acc["n"] + 1).alias("n")))
 
-    return both.select("type", F.aggregate("g", init, step, lambda a: a["n"]).alias("n")).groupBy("type").agg(F.sum("n").alias("tp"))
+    met = both.select("type", F.size("g").alias("gold"), F.size("p").alias("pred"), F.aggregate("g", init, step, lambda a: a["n"]).alias("n"))
+    sums = met.groupBy("type").agg(F.sum("gold").alias("gold"), F.sum("n").alias("tp"), F.sum("pred").alias("pred"))
+    return sums.select("type", "gold", "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"))
 
 
 def _meet(a: str, b: str) -> Column:
@@ -79,6 +86,86 @@ def error_taxonomy(gold: DataFrame, pred: DataFrame, undetectable: tuple[str, ..
     return lost.union(stray).groupBy("side", "type", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def document_sweep(docs: DataFrame, cuts: list[float], gate: str = "gate", target: str = "target") -> DataFrame:
+    """t, recall, alarm: documents caught and falsely alarmed at each cut; cuts are a small dimension."""
+    rows = docs.where(F.col(target).isNotNull()).withColumn("t", F.explode(F.array(*map(F.lit, cuts))))
+    fired = F.col(gate) >= F.col("t")
+    return rows.groupBy("t").agg(ratio(F.count_if(F.col(target) & fired), F.count_if(target)).alias("recall"), ratio(F.count_if(~F.col(target) & fired), F.count_if(~F.col(target))).alias("alarm"))
+
+
+def triage(gold: DataFrame, pred: DataFrame, crosswalk: dict[str, str]) -> DataFrame:
+    """doc_id, type, start, end, bucket, label of every prediction. gold: doc_id, label, start, end in the source's labels.
+
+    hit: a gold span of the type at the very place; mapped_mismatch: one that has a type of ours overlaps;
+    unmodelled_overlap: only gold of other labels does, the first of them is named; spurious: none does.
+    """
+    table = F.create_map(*(F.lit(x) for kv in sorted(crosswalk.items()) for x in kv))
+    g = gold.select("doc_id", "label", "start", "end", F.try_element_at(table, F.col("label")).alias("type")).alias("g")
+    p = pred.select(*SPAN_KEY).withColumn("pid", F.struct(*SPAN_KEY)).alias("p")
+    near = p.join(g, (F.col("g.doc_id") == F.col("p.doc_id")) & _meet("g", "p"), "left")
+    exact = (F.col("g.type") == F.col("p.type")) & (F.col("g.start") == F.col("p.start")) & (F.col("g.end") == F.col("p.end"))
+    first = F.min(F.when(F.col("g.label").isNotNull(), F.struct(F.col("g.start").alias("s"), F.col("g.end").alias("e"), F.col("g.label").alias("l"))))
+    flags = near.groupBy("p.pid").agg(F.bool_or(F.coalesce(exact, F.lit(False))).alias("hit"), F.bool_or(F.col("g.type").isNotNull()).alias("mapped"), first.alias("first"))
+    bucket = F.when(F.col("hit"), "hit").when(F.col("mapped"), "mapped_mismatch").when(F.col("first").isNotNull(), "unmodelled_overlap").otherwise("spurious")
+    return flags.select("pid.*", bucket.alias("bucket"), F.when(bucket == "unmodelled_overlap", F.col("first.l")).alias("label"))
+
+
+def confusions(triaged: DataFrame, most: int = 12) -> DataFrame:
+    """The most frequent pairs of a predicted type and the label it fell on: a report of its top."""
+    return triaged.where("bucket = 'unmodelled_overlap'").groupBy("type", "label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type", "label").limit(most)
+
+
+def triage_summary(triaged: DataFrame, gold: DataFrame, crosswalk: dict[str, str]) -> DataFrame:
+    """Precision with and without predictions on labels that aren't modelled, recall, and cards that could be found at all."""
+    from lanternsift.functions.validators import digits, luhn_ok
+
+    n = lambda *names: F.count_if(F.col("bucket").isin(*names))
+    p = triaged.agg(n("hit").alias("tp"), n("mapped_mismatch").alias("mismatch"), n("unmodelled_overlap").alias("unmodelled"), n("spurious").alias("spurious"))
+    number = digits(F.col("text"))
+    g = gold.agg(
+        F.count_if(F.col("label").isin(*crosswalk)).alias("gold"),
+        F.count_if((F.col("label").isin(*(k for k, v in crosswalk.items() if v == "CREDIT_CARD"))) & F.length(number).between(13, 19) & luhn_ok(number)).alias("card_reachable"),
+    )
+    out = p.crossJoin(g)  # a row each
+    tp, wrong, other = F.col("tp"), F.col("mismatch") + F.col("spurious"), F.col("unmodelled")
+    return out.withColumns({"precision": ratio(tp, tp + wrong + other), "adjusted_precision": ratio(tp, tp + wrong), "recall": ratio(tp, F.col("gold"))})
+
+
+def by_locale(gold: DataFrame, pred: DataFrame, locales: DataFrame) -> DataFrame:
+    """Exact counts by locale and type; locales: doc_id, locale."""
+    both = []
+    for rows in (gold, pred):
+        both.append(rows.join(locales, "doc_id").select(*SPAN_KEY, "locale"))
+    hit = both[0].distinct().join(both[1].distinct(), [*SPAN_KEY, "locale"]).groupBy("locale", "type").agg(F.count(F.lit(1)).alias("tp"))
+    n = [rows.groupBy("locale", "type").agg(F.count(F.lit(1)).alias(k)) for rows, k in zip(both, ("gold", "pred"))]
+    out = n[0].join(n[1], ["locale", "type"], "full_outer").join(hit, ["locale", "type"], "left").na.fill(0, ["gold", "pred", "tp"])
+    return out.select("locale", "type", "gold", "tp", (F.col("pred") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn"))
+
+
+def span_gate(counts: DataFrame, catalogue: DataFrame, severe: tuple[str, ...], min_support: int = 30) -> DataFrame:
+    """One row of gate metrics over exact counts by type: tags of the catalogue that were never seen count as zero."""
+    p = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
+    r = F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    known = counts.withColumns({"p": p, "r": r}).withColumn("f2", fbeta(F.col("p"), F.col("r"), 2.0))
+    full = catalogue.select("type").distinct().join(known, "type", "left").na.fill(0)
+    heavy = F.col("type").isin(*severe) & (F.col("gold") >= min_support)
+    return full.agg(
+        F.avg("f2").alias("macro_f2"), F.min("f2").alias("f2_min"), F.expr("percentile(f2, 0.5)").alias("f2_median"), F.count_if(F.col("f2") == 0).alias("n_zero"), F.count_if(F.col("f2") < 0.1).alias("n_below_tenth"),
+        F.min(F.when(heavy, F.col("r"))).alias("severity_min"), F.avg(F.when(heavy, F.col("r"))).alias("severity_mean"), F.count_if(heavy).alias("n_severe"),
+    )
+
+
+def model_matrix(runs: DataFrame, metric: str = "value") -> DataFrame:
+    """runs (model, corpus, n_rows, value, reason) as a row a model and corpus of the full grid; a blank says why.
+
+    Models and corpora are dimensions of a few rows each.
+    """
+    grid = runs.select("model").distinct().join(F.broadcast(runs.select("corpus").distinct()), how="cross")
+    out = grid.join(runs, ["model", "corpus"], "left")
+    said = F.when(F.col(metric).isNotNull(), F.lit(None)).when(F.col("n_rows").isNull(), F.lit("not run")).otherwise(F.coalesce("reason", F.lit("not measurable")))
+    return out.select("model", "corpus", "n_rows", metric, said.alias("blank"))
+
+
 def recall_views(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Recall by exact place and type, by type and overlap, and by overlap alone."""
     g, p = gold.withColumn("gid", F.struct(*SPAN_KEY)).alias("g"), pred.alias("p")
@@ -192,6 +279,19 @@ def false_alarms(clean: DataFrame, fired: Column) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), ratio(F.count_if(F.col("n") > 0), F.count(F.lit(1))).alias("alarm_rate"), (1000 * ratio(F.sum("n"), F.count(F.lit(1)))).alias("per_thousand"))
 
 
+def alarm_tags(clean: DataFrame, fired: Column) -> DataFrame:
+    """tag, n: false tags on documents without anything to find."""
+    return clean.where(fired).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def implied_precision(sealed: DataFrame, clean: DataFrame, mix: float = 0.5) -> DataFrame:
+    """Precision of a mix in which so large a share of the documents is clean. sealed: tp, fp, n_docs; clean: fp, n_docs."""
+    scale = (mix / (1 - mix)) if mix < 1 else 0.0
+    both = sealed.select("tp", "fp", F.col("n_docs").alias("n")).crossJoin(clean.select(F.col("fp").alias("clean_fp"), F.col("n_docs").alias("clean_n")))  # a row each
+    more = F.lit(scale) * F.col("n") / F.col("clean_n") * F.col("clean_fp")
+    return both.select(ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("sealed_precision"), F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp") + more).alias("implied_precision"))
+
+
 def latency_summary(runs: DataFrame, by: str, ms: str, size: str) -> DataFrame:
     """mean, p50, p95 (nearest rank), max and MB/s by group."""
     w = Window.partitionBy(by)

@@ -44,9 +44,13 @@ def box(scored: DataFrame, by: list[str], precision: float, recall: float, beta:
     return _pick(curve, by, [F.col("admitted"), fbeta(F.col("precision"), F.col("recall"), beta)])
 
 
-def group_cap(scored: DataFrame, by: list[str], group: str, floor: float, least: int = 20) -> DataFrame:
-    """The highest threshold at which every group large enough keeps the floor of recall."""
-    caps = scored.where("gold").groupBy(*by, group).agg(F.expr(f"percentile(score, {1 - floor})").alias("cap"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def group_cap(scored: DataFrame, by: list[str], group: str, floor: float, least: int = 20, tail_events: float | None = None) -> DataFrame:
+    """The highest threshold at which every group large enough keeps the floor of recall.
+
+    Large enough is least positives, or, with tail_events, so many positives expected below the quantile.
+    """
+    enough = F.col("n") >= least if tail_events is None else F.col("n") * (1 - floor) >= tail_events
+    caps = scored.where("gold").groupBy(*by, group).agg(F.expr(f"percentile(score, {1 - floor})").alias("cap"), F.count(F.lit(1)).alias("n")).where(enough)
     return caps.groupBy(*by).agg(F.min("cap").alias("cap"), F.count(F.lit(1)).alias("n_groups"))
 
 
@@ -60,6 +64,55 @@ def robust_threshold(scored: DataFrame, by: list[str], group: str, beta: float =
     return _pick(curve, by, [F.col("admitted"), under, value])
 
 
+def veto_ladder(scored: DataFrame, by: list[str], group: str, min_precision: float, beta: float = 0.5, floor: float = 0.75, margin: float = 0.0, min_support: int = 1, least: int = 20, tail_events: float | None = None) -> DataFrame:
+    """by, threshold, precision, recall, branch: the robust choice unless its precision is under the bar.
+
+    Then the F-beta optimum over the floor without the groups' cap, else without the floor; if that is under the bar too,
+    infinity. The branch says which rung decided; a higher threshold wins ties.
+    """
+    caps = group_cap(scored, by, group, min(floor + margin, 0.999), least, tail_events).select(*by, "cap")
+    curve = sweep(scored, by).join(F.broadcast(caps), by, "left").withColumn("cap", F.coalesce("cap", F.lit(float("inf"))))
+    curve = curve.withColumn("f", fbeta(F.col("precision"), F.col("recall"), beta))
+    under, over = F.col("threshold") <= F.col("cap"), F.col("recall") >= floor
+    point = ["threshold", "precision", "recall", "positives"]
+
+    def best(admit: Column, value: str, name: str) -> Column:
+        """The admitted point of largest value, as a struct; NULL if none is admitted."""
+        return F.max(F.when(admit, F.struct(F.col(value).alias("v"), *point))).alias(name)
+
+    picks = curve.groupBy(*by).agg(
+        best(under & over, "f", "floor_met"), best(under, "recall", "capped_max_recall"), best(F.lit(True), "recall", "uncapped_max_recall"),
+        best(over, "f", "precision_floor_uncapped"), best(F.lit(True), "f", "precision_floor_unconstrained"),
+    )
+    named = lambda *names: F.coalesce(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("branch"), *(F.col(f"{n}.{c}").alias(c) for c in point))) for n in names))
+    normal = named("floor_met", "capped_max_recall", "uncapped_max_recall")
+    rescue = named("precision_floor_uncapped", "precision_floor_unconstrained")
+    chosen = picks.select(*by, normal.alias("a"), rescue.alias("b"))
+    ok = lambda c: F.col(f"{c}.precision") >= min_precision
+    few = F.col("a.positives") < min_support
+    pick = lambda c: F.when(ok("a"), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    branch = F.when(few, "below_min_support").when(ok("a") | ok("b"), pick("branch")).otherwise("disabled_low_precision")
+    threshold = F.when(few | ~(ok("a") | ok("b")), F.lit(float("inf"))).otherwise(pick("threshold"))
+    return chosen.select(*by, threshold.alias("threshold"), pick("precision").alias("precision"), pick("recall").alias("recall"), branch.alias("branch"))
+
+
+def robust_document_cut(scored: DataFrame, group: str, recall_floor: float, specificity_floor: float, margin: float = 0.0, least: int = 50) -> DataFrame:
+    """One row: the cut of largest precision inside the band that every group large enough allows; its middle if it is empty."""
+    rows = scored.where(F.col("target").isNotNull())
+    high, low = min(recall_floor + margin, 0.999), min(specificity_floor + margin, 0.999)
+    sides = rows.groupBy(group).agg(
+        F.expr(f"percentile(CASE WHEN target THEN gate END, {1 - high})").alias("up"), F.count_if("target").alias("p"),
+        F.expr(f"percentile(CASE WHEN NOT target THEN gate END, {low})").alias("down"), F.count_if(~F.col("target")).alias("n"),
+    )
+    band = sides.agg(F.coalesce(F.min(F.when(F.col("p") >= least, F.col("up"))), F.lit(float("inf"))).alias("cap"), F.coalesce(F.max(F.when(F.col("n") >= least, F.col("down"))), F.lit(float("-inf"))).alias("base"))
+    points = rows.select(F.col("gate").alias("score"), F.col("target").alias("gold"), F.lit(True).alias("complete"), F.lit("doc").alias("scope"))
+    curve = sweep(points, ["scope"]).join(F.broadcast(band), how="cross")  # a row
+    inside = (F.col("threshold") <= F.col("cap")) & (F.col("threshold") >= F.col("base"))
+    best = curve.groupBy("cap", "base").agg(F.max(F.struct(inside.alias("inside"), "precision", "threshold")).alias("b"))
+    cut = F.when(F.col("base") > F.col("cap"), (F.col("base") + F.col("cap")) / 2).otherwise(F.col("b.threshold"))
+    return best.select("cap", "base", cut.alias("cut"))
+
+
 def document_cut(scored: DataFrame, recall_floor: float, specificity_floor: float) -> DataFrame:
     """One cut for all documents (gate, target): the largest precision within both floors, else the least deficit."""
     rows = scored.where(F.col("target").isNotNull()).select(F.col("gate").alias("score"), F.col("target").alias("gold"), F.lit(True).alias("complete"), F.lit("doc").alias("scope"))
@@ -77,6 +130,20 @@ def lower_quantiles(scored: DataFrame, by: list[str], qs: list[float]) -> DataFr
     return ranked.select(*by, "score", "_i", "_n", spots).where(F.col("_i") == F.floor(F.col("q") * (F.col("_n") - 1))).select(*by, "q", F.col("score").alias("value"))
 
 
+def quantile_bank(scored: DataFrame, group: str, recalls: list[float], priority: tuple[str, ...] = (), least: int = 30) -> DataFrame:
+    """tag, recall, threshold: the lower quantile at 1 - recall of the positives' scores.
+
+    Priority tags take the least over the groups with enough positives (over all together where none has).
+    """
+    qs = [round(1 - r, 12) for r in recalls]
+    pooled = lower_quantiles(scored, ["tag"], qs).withColumnRenamed("value", "pooled")
+    heavy = scored.where(F.col("tag").isin(*priority) if priority else F.lit(False)).where("gold")
+    enough = heavy.groupBy("tag", group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("tag", group)
+    each = lower_quantiles(heavy.join(F.broadcast(enough), ["tag", group]), ["tag", group], qs).groupBy("tag", "q").agg(F.min("value").alias("least"))
+    both = pooled.join(each, ["tag", "q"], "left")
+    return both.select("tag", F.round(1 - F.col("q"), 12).alias("recall"), F.coalesce("least", "pooled").alias("threshold"))
+
+
 def operating_curve(scored: DataFrame, thresholds: DataFrame, scales: list[float], by: str = "tag") -> DataFrame:
     """tp, fp, fn at each scale of every tag's threshold; scales are a small dimension."""
     grid = scored.join(F.broadcast(thresholds.select(by, "threshold")), by).select("*", F.explode(F.array(*map(F.lit, scales))).alias("scale"))
@@ -99,6 +166,13 @@ def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(*by, F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auc"))
 
 
+def recall_at_specificity(scored: DataFrame, by: list[str], specificity: float) -> DataFrame:
+    """by, cut, recall: recall at the cut below which so large a share of the negatives lies."""
+    cuts = scored.groupBy(*by).agg(F.expr(f"percentile(CASE WHEN NOT gold THEN score END, {specificity})").alias("cut"))
+    hit = scored.where("gold").join(F.broadcast(cuts), by)
+    return hit.groupBy(*by, "cut").agg(ratio(F.count_if(F.col("score") >= F.col("cut")), F.count(F.lit(1))).alias("recall"))
+
+
 def spread(scored: DataFrame, by: str, group: str, q: float = 0.5) -> DataFrame:
     """How far groups differ: range of a score quantile and ratio of prevalences."""
     inner = scored.groupBy(by, group).agg(F.expr(f"percentile(CASE WHEN gold THEN score END, {q})").alias("v"), F.avg(F.col("gold").cast("double")).alias("share"))
@@ -131,9 +205,16 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[flo
     return [(a, b, s / m) for a, b, s, m in blocks]
 
 
-def isotonic(points: DataFrame, by: str, max_knots: int = 64) -> DataFrame:
-    """by, x, y: knots of a flat-in-blocks isotonic curve. A task gets a group's distinct scores, not its rows."""
-    grouped = points.groupBy(by, "score").agg(F.avg(F.col("gold").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
+def isotonic(points: DataFrame, by: str, max_knots: int = 64, min_spans: int = 0) -> DataFrame:
+    """by, x, y: knots of a flat-in-blocks isotonic curve of each group with min_spans points, and of all as the group NULL.
+
+    A task gets distinct scores, not rows.
+    """
+    kind = points.schema[by].dataType.simpleString()
+    enough = points.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= min_spans) & F.col(by).isNotNull()).select(by)
+    each = points.join(F.broadcast(enough), by).select(by, "score", "gold")
+    every = each.union(points.select(F.lit(None).cast(kind).alias(by), "score", "gold"))
+    grouped = every.groupBy(by, "score").agg(F.avg(F.col("gold").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("score")
@@ -144,44 +225,44 @@ def isotonic(points: DataFrame, by: str, max_knots: int = 64) -> DataFrame:
                 knots.append((b, v))
         if len(knots) > max_knots:
             knots = [knots[i] for i in np.unique(np.linspace(0, len(knots) - 1, max_knots).round().astype(int))]
-        return pd.DataFrame({by: part[by].iloc[0], "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
+        return pd.DataFrame({by: [part[by].iloc[0]] * len(knots), "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
 
-    kind = points.schema[by].dataType.simpleString()
     return grouped.groupBy(by).applyInPandas(one, f"{by} {kind}, x double, y double")
 
 
 def calibrated(points: DataFrame, knots: DataFrame, by: str) -> DataFrame:
-    """Scores through their group's curve, linear between knots and flat beyond; at most max_knots a group are broadcast."""
-    curve = knots.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_k"))
-    k, s = F.col("_k"), F.col("score")
-    low = F.try_element_at(F.filter(k, lambda p: p["x"] <= s), F.lit(-1))
-    high = F.get(F.filter(k, lambda p: p["x"] >= s), F.lit(0))
-    between = low["y"] + (high["y"] - low["y"]) * (s - low["x"]) / (high["x"] - low["x"])
-    value = F.when(k.isNull(), s).when(low.isNull(), high["y"]).when(high.isNull(), low["y"]).when(high["x"] == low["x"], low["y"]).otherwise(between)
-    return points.join(F.broadcast(curve), by, "left").withColumn("calibrated", value).drop("_k")
-
+    """Scores through their group's curve, or through that of all (group NULL) where it has none.
 
-def bootstrap(counts: DataFrame, by: str, draws: int = 1000, seed: int = 17) -> DataFrame:
-    """Recall of each group with a 95 % interval from multinomial draws of (tp, fn); rows never reach Python."""
+    Linear between knots and flat beyond; at most max_knots a group are broadcast. Without any curve scores stay.
+    """
+    curve = knots.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_k"))
+    common = curve.where(F.col(by).isNull()).agg(F.first("_k").alias("_all"))
+    both = points.join(F.broadcast(curve.where(F.col(by).isNotNull())), by, "left").join(F.broadcast(common), how="cross")  # a row
+    return both.withColumn("_k", F.coalesce("_k", "_all")).withColumn("calibrated", interpolated(F.col("score"), F.col("_k"))).drop("_k", "_all")
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        tp, fn = int(part["tp"].sum()), int(part["fn"].sum())
-        n = tp + fn
-        if not n:
-            return pd.DataFrame({by: part[by].iloc[:1], "recall": [None], "low": [None], "high": [None]})
-        got = np.random.default_rng(seed).binomial(n, tp / n, draws) / n
-        low, high = np.quantile(got, (0.025, 0.975))
-        return pd.DataFrame({by: part[by].iloc[:1], "recall": [tp / n], "low": [low], "high": [high]})
 
-    kind = counts.schema[by].dataType.simpleString()
-    return counts.select(by, "tp", "fn").groupBy(by).applyInPandas(one, f"{by} {kind}, recall double, low double, high double")
+def interpolated(s: Column, k: Column) -> Column:
+    """A score through sorted knots (x, y); NULL knots leave it as it is."""
+    low = F.try_element_at(F.filter(k, lambda p: p["x"] <= s), F.lit(-1))
+    high = F.get(F.filter(k, lambda p: p["x"] >= s), F.lit(0))
+    between = low["y"] + (high["y"] - low["y"]) * F.try_divide(s - low["x"], high["x"] - low["x"])
+    return F.when(k.isNull(), s).when(low.isNull(), high["y"]).when(high.isNull(), low["y"]).when(high["x"] == low["x"], low["y"]).otherwise(between)
 
 
 def policy(measured: DataFrame, constraints: DataFrame) -> DataFrame:
-    """arm, passed, failed, unmeasured: constraints (scope, metric, at_least, min_support) over (arm, scope, metric, value, support)."""
-    met = measured.join(F.broadcast(constraints), ["scope", "metric"])
-    known = F.col("value").isNotNull() & (F.col("support") >= F.col("min_support"))
-    ok = F.when(known, F.col("value") >= F.col("at_least"))
+    """arm, passed, failed, unmeasured: constraints (scope, metric, at_least, min_support) over (arm, scope, metric, value, support).
+
+    A scope may be a glob of * and ?, and matches every scope it fits. With a column basis of constraints, those of
+    ci_lower hold the column ci_lower of measured against the bound instead of value.
+    """
+    pattern = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace("_scope", r"([.+()\[\]{}^$|\\])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    rules = constraints.withColumnRenamed("scope", "_scope")
+    # Constraints are a dimension of a few rows.
+    met = measured.join(F.broadcast(rules), (measured["metric"] == rules["metric"]) & F.regexp_like(F.col("scope"), pattern)).drop(rules["metric"])
+    lower = F.col("basis") == "ci_lower" if "basis" in constraints.columns else F.lit(False)
+    value = F.when(lower, F.col("ci_lower") if "ci_lower" in measured.columns else F.lit(None)).otherwise(F.col("value"))
+    known = value.isNotNull() & (F.col("support") >= F.col("min_support"))
+    ok = F.when(known, value >= F.col("at_least"))
     return met.withColumn("ok", ok).groupBy("arm").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("unmeasured"))
 
 

@@ -2,9 +2,107 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanternsift.functions import validators as V
+from lanternsift.functions.taxonomy import CHECKSUMMED
+
+#: All code points that are white space to a word, beyond ASCII too.
+SPACES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def running(sizes: Column) -> Column:
+    """For each element of an array of int the sum of those before it."""
+    return F.arrow_udf(_running, "array<int>")(sizes)
+
+
+def _running(sizes: pa.Array) -> pa.Array:
+    """One cumulative sum for a whole batch of arrays."""
+    flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+    before = np.concatenate(([0], np.cumsum(flat)))
+    made = before[:-1] - np.repeat(before[bounds[:-1]], np.diff(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(made.astype(np.int32)))
+
+
+def space_places(text: Column) -> Column:
+    """Places of all white space code points of a text; a lone surrogate is one code point and none of them."""
+    return F.arrow_udf(_space_places, "array<int>")(text)
+
+
+def _space_places(texts: pa.Array) -> pa.Array:
+    table = np.zeros(max(SPACES) + 1, bool)
+    table[SPACES] = True
+    out = []
+    for t in texts.to_pylist():
+        code = np.frombuffer((t or "").encode("utf-32-le", "replace"), np.uint32)
+        low = np.flatnonzero(code < len(table))
+        out.append(low[table[code[low]]].astype(np.int32))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def tokenised(text: Column, path: str) -> Column:
+    """id, start and end (code points) of a tokenizer's tokens, never truncated. Each worker loads the file once."""
+
+    @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        found = [_tokenizer(path).encode(t or "", add_special_tokens=False) for t in texts.to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(e.ids) for e in found]))).astype(np.int32)
+        columns = [[i for e in found for i in e.ids], [a for e in found for a, _ in e.offsets], [b for e in found for _, b in e.offsets]]
+        items = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["id", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(bounds), items)
+
+    return tokens(text)
+
+
+_TOKENIZERS: dict = {}
+
+
+def _tokenizer(path: str):
+    if path not in _TOKENIZERS:
+        from tokenizers import Tokenizer
+
+        if len(_TOKENIZERS) >= 4:
+            _TOKENIZERS.pop(next(iter(_TOKENIZERS)))
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _TOKENIZERS[path] = tok
+    return _TOKENIZERS[path]
+
+
+def revalidates(kind: Column, text: Column) -> Column:
+    """Whether a model's span stands up to the check of its type; types without a check pass."""
+    n = V.digits(text)
+    bare = F.trim(text)
+    checks = {
+        "CREDIT_CARD": F.length(n).between(13, 19) & V.luhn_ok(n),
+        "SSN": (F.length(n) == 9) & V.ssn_ok(F.substring(n, 1, 3), F.substring(n, 4, 2), F.substring(n, 6, 4)),
+        "IP_ADDRESS": V.ipv4_ok(bare) | V.ipv6_ok(bare),
+        "EMAIL": F.contains(text, F.lit("@")) & F.contains(F.substring_index(text, "@", -1), F.lit(".")),
+        "URL": F.contains(text, F.lit(".")) | F.contains(text, F.lit(":")),
+        "BANK_ROUTING": V.aba_ok(n),
+        "VEHICLE_ID": V.vin_ok(text),
+        "SWIFT_BIC": V.swift_ok(text),
+        "MAC_ADDRESS": V.mac_ok(text),
+        "TAX_ID": V.ein_ok(n),
+    }
+    out = F.lit(True)
+    for name, ok in checks.items():
+        out = F.when(kind == name, F.coalesce(ok, F.lit(False))).otherwise(out)
+    return out
+
+
+def finished(spans: Column, min_confidence: float = 0.50, revalidate: bool = True) -> Column:
+    """A tagger's spans with confidence enough, and, of types with a check digit or structure, those that pass it."""
+    ok = lambda s: s["confidence"] >= min_confidence
+    if not revalidate:
+        return F.filter(spans, ok)
+    return F.filter(spans, lambda s: ok(s) & (~s["type"].isin(*CHECKSUMMED) | revalidates(s["type"], s["text"])))
+
 
 def chunks(n: Column, window: int, context: int) -> Column:
     """Windows (start, end, keep_from, keep_to) over n tokens: kept parts tile the text once, context lies around them."""
@@ -23,17 +121,9 @@ def chunks(n: Column, window: int, context: int) -> Column:
 
 
 def token_offsets(tokens: Column, blanks: Column) -> Column:
-    """(start, end, token) of tokens that are followed by a blank or not."""
-    kind = "struct<at:int,out:array<struct<start:int,end:int,token:string>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,token:string>>").alias("out")).cast(kind)
-    pairs = F.zip_with(tokens, blanks, lambda t, b: F.struct(t.alias("t"), b.alias("b")))
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["at"] + F.length(p["t"])
-        one = F.struct(acc["at"].alias("start"), end.alias("end"), p["t"].alias("token"))
-        return F.struct((end + F.when(p["b"], 1).otherwise(0)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    """(start, end, token) of tokens that are followed by a blank or not; tokens and blanks must be columns by themselves."""
+    sizes = F.zip_with(tokens, blanks, lambda t, b: F.length(t) + F.when(b, 1).otherwise(0))
+    return F.zip_with(tokens, running(sizes), lambda t, at: F.struct(at.alias("start"), (at + F.length(t)).alias("end"), t.alias("token")))
 
 
 def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:

@@ -12,14 +12,19 @@ from lanternsift.operators import scanner
 from lanternsift.operators.classify import classify, report_json
 from lanternsift.operators.detectors import Detector, candidates, digit_run, registry
 from lanternsift.operators.resolve import resolve
+from lanternsift.operators.tokens import finished
 
 
-def scan(docs: DataFrame, text: str = "text", detectors: list[Detector] | None = None, names: bool = True, extra: Column | None = None, as_of: Column | None = None) -> DataFrame:
-    """docs with entities, the resolved spans of each row. extra: spans of a learned tagger to be fused in.
+def scan(
+    docs: DataFrame, text: str = "text", detectors: list[Detector] | None = None, names: bool = True, extra: Column | None = None, as_of: Column | None = None, min_confidence: float = 0.50, revalidate: bool = True
+) -> DataFrame:
+    """docs with entities, the resolved spans of each row. extra: spans of a learned tagger to be fused in, those that
+    have min_confidence and, where their type has a check, pass it (operators.tokens.finished).
 
     A narrow projection: one Arrow pass over the text column (operators.scanner). Detectors that aren't registered ones
     go by columns.
     """
+    extra = None if extra is None else finished(extra, min_confidence, revalidate)
     keys = None if detectors is None else scanner.keys_of(detectors)
     if detectors is not None and keys is None:
         return scan_columns(docs, text, detectors, names, extra, as_of)

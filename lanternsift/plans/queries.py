@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lanternsift.plans import registry, registry_metrics  # noqa: F401  (they fill the tables)
+from lanternsift.plans import registry, registry_extra, registry_metrics  # noqa: F401  (they fill the tables)
 
 
 def queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lanternsift.operators import bootstraps as B
 from lanternsift.operators import features as K
 from lanternsift.operators import metrics as M
 from lanternsift.operators import thresholds as T
@@ -52,9 +53,15 @@ def g_micro_rollup(spark, sf_dir):
     return M.prf(M.exact_counts(*_spans(spark, sf_dir)))
 
 
-@query("g_partial", GP + "SELECT g.type, count(*) AS tp FROM g JOIN p ON g.doc_id = p.doc_id AND g.type = p.type AND g.gs < p.ge AND p.gs < g.ge GROUP BY g.type")
+# Two touching golds under one, two or three equal predictions, or none: each gold takes one of them.
+_twice = f"SELECT k AS doc_id, 'SSN' AS type, 0 AS gs, 5 AS ge FROM ({IDS}) AS i UNION ALL SELECT k, 'SSN', 5, 10 FROM ({IDS}) AS i"
+_thrice = f"SELECT k AS doc_id, 'SSN' AS type, 3 AS gs, 7 AS ge FROM ({IDS}) AS i JOIN (VALUES (1), (2), (3)) AS v(n) ON v.n <= i.k % 4"
+
+
+@query("g_partial", duck(f"""SELECT 'SSN' AS type, 2 * count(*) AS gold, CAST(sum(least(k % 4, 2)) AS BIGINT) AS tp, CAST(sum(k % 4 - least(k % 4, 2)) AS BIGINT) AS fp, CAST(sum(2 - least(k % 4, 2)) AS BIGINT) AS fn FROM ({IDS}) AS i"""))
 def g_partial(spark, sf_dir):
-    return M.partial_counts(*_spans(spark, sf_dir))
+    name = lambda sql: base(spark, sf_dir, sql, "customer").select("doc_id", "type", F.col("gs").alias("start"), F.col("ge").alias("end"))
+    return M.partial_counts(name(_twice), name(_thrice))
 
 
 @query("g_leakage", GP + "SELECT DISTINCT doc_id FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE g.doc_id = p.doc_id AND g.type = p.type AND g.gs < p.ge AND p.gs < g.ge)")
@@ -113,9 +120,7 @@ def g_document_confusion(spark, sf_dir):
 @query("g_document_sweep", duck(f"""SELECT t, count(*) FILTER (WHERE target AND gate >= t) / count(*) FILTER (WHERE target) AS recall, count(*) FILTER (WHERE NOT target AND gate >= t) / count(*) FILTER (WHERE NOT target) AS alarm
 FROM ({_docs}) AS d, (SELECT unnest([0.25, 0.5, 0.75]) AS t) AS ts WHERE target IS NOT NULL GROUP BY t"""))
 def g_document_sweep(spark, sf_dir):
-    rows = base(spark, sf_dir, _docs, "documents").where("target IS NOT NULL").withColumn("t", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75)))))
-    fired = F.col("gate") >= F.col("t")
-    return rows.groupBy("t").agg((F.count_if(F.col("target") & fired) / F.count_if("target")).alias("recall"), (F.count_if(~F.col("target") & fired) / F.count_if(~F.col("target"))).alias("alarm"))
+    return M.document_sweep(base(spark, sf_dir, _docs, "documents"), [0.25, 0.5, 0.75])
 
 
 _masked = """frame AS (SELECT c.corpus, t.tag FROM (SELECT DISTINCT corpus FROM s) AS c, (SELECT unnest(['quality', 'toxic', 'unseen']) AS tag) AS t),
@@ -295,7 +300,28 @@ def g_calibrated(spark, sf_dir):
 
 @query("g_bootstrap")
 def g_bootstrap(spark, sf_dir):
-    return T.bootstrap(M.tag_counts(scored(spark, sf_dir), F.col("score") >= 0.6, ["tag"]), "tag")
+    rows = scored(spark, sf_dir)
+    n = M.tag_counts(rows, F.col("score") >= 0.6, ["tag"]).join(rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "tag")
+    return B.recall_interval(n, "tag")
+
+
+@query("g_bootstrap_fbeta")
+def g_bootstrap_fbeta(spark, sf_dir):
+    """Compared with a plain bootstrap in tests."""
+    fired = F.col("score") >= 0.6
+    outcome = F.when(F.col("gold") & fired, "tp").when(F.col("gold"), "fn").when(F.col("complete") & fired, "fp")
+    return B.fbeta_intervals(scored(spark, sf_dir).withColumn("outcome", outcome).where("outcome IS NOT NULL").select("doc_id", "tag", "outcome"))
+
+
+@query("g_bootstrap_flags")
+def g_bootstrap_flags(spark, sf_dir):
+    n = scored(spark, sf_dir).groupBy("corpus").agg(F.count_if(F.col("score") >= 0.6).alias("yes"), F.count(F.lit(1)).alias("n"))
+    return B.flag_interval(n, "corpus")
+
+
+@query("g_bootstrap_clusters")
+def g_bootstrap_clusters(spark, sf_dir):
+    return B.cluster_interval(_measured(spark, sf_dir), "tag", "recall")
 
 
 @query("g_policy", S + """, m AS (SELECT corpus AS arm, tag AS scope, count(*) FILTER (WHERE gold AND score >= 0.6) / nullif(count(*) FILTER (WHERE gold), 0) AS value, count(*) FILTER (WHERE gold) AS support FROM s GROUP BY corpus, tag),
@@ -311,23 +337,39 @@ def g_policy(spark, sf_dir):
 
 # ---------------------------------------------------------------- features and linear models
 
-_toks = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9’''_-]{0,39}|[0-9]+(?:[/.:-][0-9]+){0,5}')[1:768], lambda t: regexp_replace(replace(lower(t), '’', ''''), '[0-9]', '0', 'g'))"
-_words = f"SELECT doc_id, unnest(list_distinct({_toks})) AS w FROM documents"
+# The feature names of a text. Shapes are told apart by existence alone, so lookarounds become context.
+_toks = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9’''_-]{0,39}|[0-9]+(?:[/.:-][0-9]+){0,5}'), lambda t: regexp_replace(replace(lower(t), '’', ''''), '[0-9]', '0', 'g'))"
+_shape = {
+    "card": "(^|[^0-9])([0-9][- ]?){13,19}($|[^0-9])", "email": "[-!#$%&''*+/=?^_`.{|}~a-zA-Z0-9]+@[-.a-zA-Z0-9]+[.][a-zA-Z]{2,}", "iban": "(?i)(^|[^0-9A-Z])[A-Z]{2}[0-9]{2}( ?[0-9A-Z]){11,30}($|[^0-9A-Z])",
+    "ipv4": "(^|[^0-9])[0-9]{1,3}([.][0-9]{1,3}){3}($|[^0-9])", "ipv6": "(?i)(^|[^a-f0-9])([a-f0-9]{1,4}:){2,7}[a-f0-9]{0,4}($|[^a-f0-9])", "itin": "(^|[^0-9])9[0-9]{2}[ -]?(8[0-8]|7[0-9])[ -]?[0-9]{4}($|[^0-9])", "ssn": "(^|[^0-9])[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}($|[^0-9])",
+}
+_shapes = ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN 'r:{n}' END" for n, p in _shape.items())
+_words = f"""SELECT doc_id, unnest(list_distinct(list_concat(list_concat(list_transform(toks, lambda x: 'u:' || x), list_concat(list_transform(plain, lambda x: 'p:' || left(x, 5)), list_transform(plain, lambda x: 's:' || right(x, 5)))),
+  list_concat(list_transform(range(1, len(toks)), lambda i: 'b:' || toks[i] || '|' || toks[i + 1]), list_concat(list_filter(shapes, lambda x: x IS NOT NULL), [len0]))))) AS w
+FROM (SELECT *, list_filter(list_transform(toks, lambda x: regexp_replace(x, '[^0-9a-z]+', '', 'g')), lambda x: regexp_full_match(x, '[a-z]{{6,}}')) AS plain
+  FROM (SELECT doc_id, {_toks} AS toks, [{_shapes}] AS shapes, 'm:length:' || CAST(least(20, CAST(floor(log2(greatest(length(coalesce(text, '')), 1) + 1e-9)) AS BIGINT)) AS VARCHAR) AS len0 FROM documents) AS a) AS b"""
 
 
 @query("f_token_features", f"SELECT w, count(*) AS df FROM ({_words}) AS x GROUP BY w")
 def f_token_features(spark, sf_dir):
-    rows = K.exploded(K.feature_names(table(spark, sf_dir, "documents"))).where(F.col("feature").startswith("u:"))
-    return rows.groupBy(F.substring("feature", 3, 1000).alias("w")).agg(F.count(F.lit(1)).alias("df"))
+    rows = K.exploded(K.feature_names(table(spark, sf_dir, "documents")))
+    return rows.groupBy(F.col("feature").alias("w")).agg(F.count(F.lit(1)).alias("df"))
 
 
 @query("f_hashed")
 def f_hashed(spark, sf_dir):
+    """Compared with the CRC-32 of zlib in tests."""
     return K.hashed(K.feature_names(table(spark, sf_dir, "documents"))).select("doc_id", F.size("features").alias("n"), F.array_join("features", ",").alias("features"))
 
 
+@query("f_profiles")
+def f_profiles(spark, sf_dir):
+    """The read windows are the feature: a profile is defined by the characters, tokens and features that it keeps."""
+    return K.profiled(table(spark, sf_dir, "documents")).select("doc_id", "profile", F.size("features").alias("n"), F.array_join("features", ",").alias("features"))
+
+
 _tags = "SELECT doc_id, 'quality' AS tag, quality = 1 AS gold, doc_id % 5 <> 0 AS complete FROM {labels} UNION ALL SELECT doc_id, 'toxic', toxic = 1, doc_id % 5 <> 0 FROM {labels}"
-_model = f"""WITH t AS ({duck(_tags)}), x AS ({_words}), docs AS (SELECT doc_id, bool_and(complete) AS complete FROM t GROUP BY doc_id),
+_model = f"""WITH t AS ({duck(_tags)}), x AS MATERIALIZED ({_words}), docs AS (SELECT doc_id, bool_and(complete) AS complete FROM t GROUP BY doc_id),
 seen AS (SELECT x.w, d.doc_id, d.complete FROM x JOIN docs d USING (doc_id)),
 bf AS (SELECT w, count(*) AS df, count(*) FILTER (WHERE complete) AS cdf FROM seen GROUP BY w HAVING count(*) >= 2),
 bc AS (SELECT t.tag, x.w, count(*) FILTER (WHERE t.complete) AS pc, count(*) FILTER (WHERE NOT t.complete) AS pp FROM x JOIN t USING (doc_id) WHERE t.gold GROUP BY t.tag, x.w),
@@ -338,7 +380,7 @@ weights AS (SELECT tag, w AS feature, least(greatest(ln(p / (1 - p)) - ln(q / (1
 
 
 def _model_parts(spark, sf_dir):
-    named = K.exploded(K.feature_names(table(spark, sf_dir, "documents"))).where(F.col("feature").startswith("u:")).select("doc_id", F.substring("feature", 3, 1000).alias("feature"))
+    named = K.exploded(K.feature_names(table(spark, sf_dir, "documents")))
     return named, K.counts(named, base(spark, sf_dir, _tags, "labels"))
 
 
@@ -348,6 +390,12 @@ def k_log_odds(spark, sf_dir):
     return K.log_odds(*parts).withColumn("w", F.round("w", 9))
 
 
+@query("k_tempered", _model + " SELECT tag, feature, round(w2, 9) AS w FROM (SELECT tag, feature, least(greatest(raw * pow(ln(n / greatest(df, 1)), 0.65), -8), 8) AS w2 FROM (SELECT tag, w AS feature, ln(p / (1 - p)) - ln(q / (1 - q)) AS raw, df, n FROM c) AS r) AS t")
+def k_tempered(spark, sf_dir):
+    _, parts = _model_parts(spark, sf_dir)
+    return K.log_odds(*parts, idf="plain").withColumn("w", F.round("w", 9))
+
+
 @query("k_tfidf", _model + " SELECT tag, feature, round(w * pow(least(greatest(ln((n + 1.0) / (df + 1.0)) + 1.0, 1.0), 6.0), 0.65), 9) AS w FROM weights")
 def k_tfidf(spark, sf_dir):
     _, parts = _model_parts(spark, sf_dir)

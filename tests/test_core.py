@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lanternsift.functions.spans import coalesce_intervals
+from lanternsift.operators import bootstraps as B
 from lanternsift.operators import corpus as C
 from lanternsift.operators import features as K
 from lanternsift.operators import metrics as M
@@ -78,21 +79,62 @@ def test_ties_are_cut_between_distinct_scores_only(spark):
 
 
 def test_isotonic_pools(spark):
-    got = T.pool_adjacent(np.arange(6.0), np.array([4.0, 5, 1, 6, 8, 7]), np.ones(6))
-    assert [(a, b) for a, b, _ in got] == [(0, 2), (3, 3), (4, 5)] and got[0][2] == pytest.approx(10 / 3)
+    got = T.pool_adjacent(np.arange(5.0), np.array([2.0, 7, 3, 4, 9]), np.array([1.0, 1, 1, 2, 1]))
+    assert [(a, b) for a, b, _ in got] == [(0, 0), (1, 3), (4, 4)] and got[1][2] == pytest.approx(4.5)
 
 
-def test_calibration_and_bootstrap(spark):
-    rows = [("t", s / 10, s / 10 > 0.45, True) for s in range(10)] + [("u", 0.5, True, True)]
+def _isotonic_by_hand(points):
+    """The least upper mean over the greatest lower mean, at every distinct score."""
+    xs = sorted({x for x, _ in points})
+    mean = lambda a, b: np.mean([y for x, y in points if a <= x <= b])
+    return {x: max(min(mean(a, b) for b in xs if b >= x) for a in xs if a <= x) for x in xs}
+
+
+def test_calibration(spark):
+    draw = np.random.default_rng(3)
+    rows = [("t", float(s) / 20, bool(draw.random() < s / 20), True) for s in draw.integers(0, 21, 120)] + [("few", 0.5, True, True), (None, 0.25, False, True)]
     df = spark.createDataFrame(rows, "tag string, score double, gold boolean, complete boolean")
-    knots = T.isotonic(df, "tag")
-    got = {(r["tag"], r["score"]): r["calibrated"] for r in T.calibrated(df, knots, "tag").collect()}
-    assert got["t", 0.0] == 0.0 and got["t", 0.9] == 1.0 and got["u", 0.5] == 1.0
-    between = T.calibrated(spark.createDataFrame([("t", 0.45), ("t", 2.0), ("new", 0.3)], "tag string, score double"), knots, "tag").collect()
-    assert sorted(round(r["calibrated"], 6) for r in between) == [0.3, 0.5, 1.0]
-    boot = {r["tag"]: r for r in T.bootstrap(spark.createDataFrame([("a", 80, 20), ("b", 0, 0)], "tag string, tp int, fn int"), "tag").collect()}
-    assert boot["a"]["recall"] == 0.8 and 0.7 < boot["a"]["low"] < 0.8 < boot["a"]["high"] < 0.9 and boot["b"]["recall"] is None
-    assert T.bootstrap(spark.createDataFrame([("a", 80, 20)], "tag string, tp int, fn int"), "tag").first() == boot["a"]
+    knots = T.isotonic(df, "tag", min_spans=10)
+    assert {r["tag"] for r in knots.collect()} == {"t", None}
+    own = _isotonic_by_hand([(s, g) for t, s, g, _ in rows if t == "t"])
+    every = _isotonic_by_hand([(s, g) for _, s, g, _ in rows])
+    asked = spark.createDataFrame([(t, s) for t in ("t", "few", "new", None) for s in sorted(own)], "tag string, score double")
+    for r in T.calibrated(asked, knots, "tag").collect():
+        if r["tag"] == "t":
+            assert r["calibrated"] == pytest.approx(own[r["score"]])
+        elif r["score"] in every:  # types without a curve of their own have that of all
+            assert r["calibrated"] == pytest.approx(every[r["score"]])
+    one = spark.createDataFrame([("a", 0.2, False), ("a", 0.4, True)], "tag string, score double, gold boolean")
+    between = T.calibrated(spark.createDataFrame([("a", 0.3), ("a", 2.0), ("a", -1.0)], "tag string, score double"), T.isotonic(one, "tag"), "tag").collect()
+    assert [round(r["calibrated"], 9) for r in between] == [0.5, 1.0, 0.0]
+    assert T.calibrated(asked, knots.limit(0), "tag").where("calibrated <> score").count() == 0
+
+
+def test_bootstraps(spark):
+    counts = spark.createDataFrame([("a", 80, 20, 5000), ("b", 0, 0, 10), ("c", 3, 1, 4)], "tag string, tp int, fn int, n int")
+    boot = {r["tag"]: r for r in B.recall_interval(counts, "tag").collect()}
+    rng = np.random.default_rng(1)
+    flags = np.concatenate((np.ones(80), np.zeros(20), np.full(4900, np.nan)))
+    plain = [np.nanmean(rng.choice(flags, 5000)) for _ in range(800)]
+    assert boot["a"]["recall"] == 0.8 and boot["b"]["recall"] is None
+    assert np.allclose([boot["a"]["low"], boot["a"]["high"]], np.quantile(plain, (0.025, 0.975)), atol=0.02)
+    assert {r["tag"]: r for r in B.recall_interval(counts, "tag").collect()} == boot
+
+    draw = np.random.default_rng(7)
+    rows = [(i, t, str(draw.choice(["tp", "fp", "fn"], p=p))) for i in range(600) for t, p in (("x", [0.6, 0.2, 0.2]), ("y", [0.3, 0.3, 0.4])) if draw.random() < 0.7]
+    got = {r["measure"]: r for r in B.fbeta_intervals(spark.createDataFrame(rows, "doc_id long, tag string, outcome string"), draws=400).collect()}
+    cells = np.zeros((600, 2, 3))
+    for i, t, o in rows:
+        cells[i, "xy".index(t), ["tp", "fp", "fn"].index(o)] += 1
+    f2 = lambda c: 5 * c[..., 0] / (5 * c[..., 0] + 4 * c[..., 2] + c[..., 1])
+    plain = np.array([(f2(c).mean(), f2(c.sum(axis=0))) for c in (cells[draw.integers(0, 600, 600)].sum(axis=0) for _ in range(600))])
+    for k, name in enumerate(("macro", "micro")):
+        assert got[name]["value"] == pytest.approx((f2(cells.sum(axis=0)).mean(), f2(cells.sum(axis=(0, 1))))[k])
+        assert np.allclose([got[name]["low"], got[name]["high"]], np.quantile(plain[:, k], (0.025, 0.975)), atol=0.015)
+    flags = B.flag_interval(spark.createDataFrame([("a", 30, 100), ("b", 0, 0)], "corpus string, yes int, n int"), "corpus").collect()
+    assert {r["corpus"]: r["rate"] for r in flags} == {"a": 0.3, "b": None} and flags[0]["low"] < 0.3 < flags[0]["high"]
+    cluster = B.cluster_interval(spark.createDataFrame([("t", float(v)) for v in range(5)], "tag string, value double"), "tag").first()
+    assert cluster["value"] == 2 and 0 < cluster["low"] < 2 < cluster["high"] < 4
 
 
 def test_features_hide_values_and_are_stable(spark):
