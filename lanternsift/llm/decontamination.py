@@ -1,26 +1,28 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark is a stated query set: it is taken in blocks of ITEMS items, so what a task gets of it has a fixed bound.
+The benchmark is a stated query set. Its items are cut into passages of PASSAGE words, and these taken in blocks of
+PASSAGES, so what a task holds of it has a fixed bound, however many or long the items are. The texts are read once for
+every VOCABULARY words of the benchmark; what is kept of them are the places of these words, the only ones that can match.
 For a block
 
-1. one pass over all texts writes the places of the block's words, the only ones that can match anything in it;
-2. document frequencies over all documents give the TF-IDF weights;
-3. a randomised SVD of the TF-IDF passages (Halko, Martinsson and Tropp, 2011) finds the latent space: every task
+1. document frequencies over all documents give the TF-IDF weights;
+2. a randomised SVD of the TF-IDF passages (Halko, Martinsson and Tropp, 2011) finds the latent space: every task
    multiplies its passages with the sketch and adds up its share of the product, the driver orthonormalises a matrix of
-   words by RANK;
-4. windows of all documents are projected, and those with a large cosine to an item's passage become candidates, or
+   the block's words by RANK;
+3. windows of all documents are projected, and those with a large cosine to an item's passage become candidates, or
    with a large share of the passage's length, since a common item's words weigh little beside rare ones;
-5. a candidate is confirmed by the longest common subsequence of words with the passage and by its answer: the share
+4. a candidate is confirmed by the longest common subsequence of words with the passage and by its answer: the share
    of the passage's TF-IDF weight, mostly in its rare words, that the window holds.
 
 Defined cases: a null or empty text or item has no words and no match; an item of fewer than MIN_WORDS words is no
 evidence and never matches; repeated items and rows match one by one (equal pairs are returned once); null ids stay
-null; an empty table of either kind gives an empty result.
+null; ids are whole numbers; other columns are left alone; an empty table of either kind gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternsift.llm.common import settle, slim
+from lanternsift.llm.common import discard, settle, shared_dir, slim
 
-#: Items of a block; with MAX_PASSAGES it bounds what tasks are sent.
-ITEMS = 2_000
+#: Passages of a block, and words of the benchmark for which the texts are read once.
+PASSAGES = 1_024
+VOCABULARY = 1_000_000
 #: Words of a passage of an item; longer items are cut into several.
 PASSAGE = 48
 MIN_WORDS = 8
@@ -40,9 +43,9 @@ WINDOW, STEP = 64, 32
 RANK = 256
 OVERSAMPLE = 32
 POWER = 1
-MIN_COSINE = 0.5
-MIN_LCS = 0.7
-MIN_ANSWER = 0.7
+MIN_COSINE = 0.35
+MIN_LCS = 0.6
+MIN_ANSWER = 0.5
 #: Characters of text that are split at a time.
 BLOCK_CHARS = 4_000_000
 #: Passages or windows whose vectors are formed at a time.
@@ -58,23 +61,21 @@ def split_words(texts: pa.Array) -> pa.LargeListArray:
 
 
 class Block:
-    """The passages of a block of items: their words, weights and latent vectors."""
-
-    def __init__(self, items: list[tuple]):
-        words = [[w for w in ws if w] for ws in split_words(pa.array([t for _, t in items], pa.string())).to_pylist()] if items else []
-        self.owner: list[int] = []
-        texts: list[list[str]] = []
-        self.ids = [i for i, _ in items]
-        for k, ws in enumerate(words):
-            if len(ws) < MIN_WORDS:
-                continue
-            n = max(1, round(len(ws) / PASSAGE))
-            for part in np.array_split(np.arange(len(ws)), n):
-                self.owner.append(k)
-                texts.append([ws[i] for i in part])
-        self.vocabulary = sorted({w for ws in texts for w in ws})
-        at = {w: i for i, w in enumerate(self.vocabulary)}
-        self.passages = [np.array([at[w] for w in ws], np.int32) for ws in texts]
+    """The passages of a block: their words, weights and latent vectors, and the limits of a match."""
+
+    def __init__(self, passages: list[tuple[int | None, list[str]]], limits: tuple[float, float, float] = (MIN_COSINE, MIN_LCS, MIN_ANSWER)):
+        self.limits = limits
+        self.ids = sorted({i for i, _ in passages}, key=lambda i: (i is not None, i))
+        at = {i: k for k, i in enumerate(self.ids)}
+        self.owner = [at[i] for i, _ in passages]
+        self.vocabulary = sorted({w for _, ws in passages for w in ws})
+        place = {w: i for i, w in enumerate(self.vocabulary)}
+        self.passages = [np.array([place[w] for w in ws], np.int32) for _, ws in passages]
+
+    def among(self, words: dict[str, int]) -> None:
+        """words: all words whose places are noted; of each, its number in this block or -1."""
+        self.local = np.full(len(words), -1, np.int32)
+        self.local[[words[w] for w in self.vocabulary]] = np.arange(len(self.vocabulary))
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 1.0)) + 1.0
@@ -131,14 +132,19 @@ def _places(batches: Iterator[pa.RecordBatch], vocabulary: list[str]) -> Iterato
         pa.default_memory_pool().release_unused()
 
 
-def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and word of every known word of a batch."""
+def _flat(b: pa.RecordBatch, local: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and word of every known word of a batch, or of a block's words by their numbers in it."""
     steps, words = b.column(b.schema.get_field_index("steps")), b.column(b.schema.get_field_index("words"))
     bounds = steps.offsets.to_numpy() - steps.offsets[0].as_py()
     sizes = np.diff(bounds)
     total = np.cumsum(steps.flatten().to_numpy().astype(np.int64))
     before = np.concatenate(([0], total))[bounds[:-1]]
-    return np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes), words.flatten().to_numpy()
+    row, place, word = np.repeat(np.arange(len(sizes)), sizes), total - np.repeat(before, sizes), words.flatten().to_numpy()
+    if local is None:
+        return row, place, word
+    word = local[word]
+    own = word >= 0
+    return row[own], place[own], word[own]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +172,11 @@ def _windows(row: np.ndarray, place: np.ndarray, word: np.ndarray, width: int, s
         yield heads, np.diff(np.concatenate((heads, [len(key)])))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], local: np.ndarray, weight: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
     """This task's share of A' A S for unit TF-IDF passages A, as rows of word and vector."""
     total, touched = np.zeros_like(sketch, dtype=np.float64), np.zeros(len(weight), bool)
     for b in _slices(batches):
-        row, place, word = _flat(b)
-        keep = weight[word] > 0
-        row, place, word = row[keep], place[keep], word[keep]
+        row, place, word = _flat(b, local)
         if not len(word):
             continue
         heads, sizes = next(_windows(row, place, word, WINDOW, WINDOW))
@@ -244,14 +248,14 @@ def _lcs(a: list[int], b: np.ndarray) -> int:
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.RecordBatch]:
-    limit, square = MIN_COSINE * block.kept, block.weight**2
+    min_cosine, min_lcs, min_answer = block.limits
+    limit, square = min_cosine * block.kept, block.weight**2
     for b in _slices(batches):
-        row, place, word = _flat(b)
-        content = np.flatnonzero(block.weight[word] > 0)
+        row, place, word = _flat(b, block.local)
         ids, out = b.column(0), []
-        if not len(content):
+        if not len(word):
             continue
-        crow, cplace, cword = row[content], place[content], word[content]
+        crow, cplace, cword = row, place, word
         lows = np.searchsorted(row, np.arange(len(ids)))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for shift, (heads, sizes) in zip(range(0, WINDOW, STEP), _windows(crow, cplace, cword, WINDOW, STEP)):
@@ -282,10 +286,10 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
                     have = set(near.tolist())
                     weights = block.answer[q]
                     answer = sum(v for w, v in weights.items() if w in have) / max(sum(weights.values()), 1e-9)
-                    if answer < MIN_ANSWER:
+                    if answer < min_answer:
                         continue
                     lcs = _lcs(near.tolist(), own) / len(own)
-                    if lcs >= MIN_LCS:
+                    if lcs >= min_lcs:
                         best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (round(lcs, 6), round(answer, 6), round(float(cosine[i, q]), 4)))
         for (r, k), (lcs, answer, cosine) in best.items():
             out.append((ids[r].as_py(), block.ids[k], cosine, lcs, answer))
@@ -314,7 +318,7 @@ def latent_space(places: DataFrame, block: Block, rank: int = RANK, power: int =
             own[k, w] = v
     for _ in range(power + 1):
         product = np.zeros((size, width))
-        shares = places.mapInArrow(lambda it, s=basis: _sketch(it, weight, s), "word bigint, v binary")
+        shares = places.mapInArrow(lambda it, s=basis: _sketch(it, block.local, weight, s), "word bigint, v binary")
         for r in shares.repartition("word").mapInArrow(_add_up, "word bigint, v binary").collect():
             product[r["word"]] = np.frombuffer(r["v"], "<f4")
         n = max(float(np.abs(product).max()), 1.0)
@@ -329,33 +333,60 @@ def latent_space(places: DataFrame, block: Block, rank: int = RANK, power: int =
     return basis[:, : min(rank, width)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+def _blocks(queries: DataFrame, most: int, limits: tuple[float, float, float]) -> Iterator[Block]:
+    """Blocks of passages from items that come one partition at a time; the driver holds one block's."""
+    held: list[tuple[int | None, list[str]]] = []
+    for r in queries.toLocalIterator():
+        words = [w for w in split_words(pa.array([r["text"]], pa.string()))[0].as_py() if w]
+        if len(words) < MIN_WORDS:
+            continue
+        for part in np.array_split(np.arange(len(words)), max(1, round(len(words) / PASSAGE))):
+            held.append((r["item_id"], [words[i] for i in part]))
+            if len(held) >= most:
+                yield Block(held, limits)
+                held = []
+    if held:
+        yield Block(held, limits)
+
+
+def _groups(blocks: Iterator[Block], most: int) -> Iterator[tuple[list[Block], dict[str, int]]]:
+    """Blocks that share one reading of the texts, and the numbers of all their words."""
+    group, words = [], {}
+    for block in blocks:
+        if group and len(words) + len(block.vocabulary) > most:
+            yield group, words
+            group, words = [], {}
+        group.append(block)
+        for w in block.vocabulary:
+            words.setdefault(w, len(words))
+    if group:
+        yield group, words
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, passages: int = PASSAGES, vocabulary: int = VOCABULARY, limits: tuple[float, float, float] = (MIN_COSINE, MIN_LCS, MIN_ANSWER)) -> DataFrame:
     """Pairs (doc_id, item_id) of contaminated documents and the items they hold, with the evidence; one row a pair."""
     spark: SparkSession = docs.sparkSession
     base = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     queries = slim(benchmark, "item_id", "text").select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL")
-    n_items = queries.count()
     n_docs = base.count()
     found = []
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n_items // items))))
-    for k in range(max(1, -(-n_items // items)) if n_items and n_docs else 0):
-        block = Block([(r["item_id"], r["text"]) for r in queries.where(part == k).orderBy("item_id", "text").collect()])
-        if not block.passages:
-            continue
-        vocabulary, size = block.vocabulary, len(block.vocabulary)
-        places = settle(base.mapInArrow(lambda it, v=vocabulary: _places(it, v), "doc_id bigint, steps array<int>, words array<int>"))
+    for group, words in _groups(_blocks(queries, passages, limits), vocabulary):
+        known, size, path = list(words), len(words), shared_dir(spark)
+        places = settle(base.mapInArrow(lambda it, v=known: _places(it, v), "doc_id bigint, steps array<int>, words array<int>"), path)
         df = np.zeros(size, np.int64)
-        for r in places.mapInArrow(lambda it, n=size: _frequencies(it, n), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).collect():
-            df[r["word"]] = r["df"]
-        block.weigh(df, n_docs)
-        block.settle_space(latent_space(places, block))
-        found.append(places.mapInArrow(lambda it, b=block: _search(it, b), SCHEMA))
+        counted = places.mapInArrow(lambda it, n=size: _frequencies(it, n), "word bigint, df bigint").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+        df[counted["word"].to_numpy()] = counted["df"].to_numpy()
+        for block in group:
+            block.among(words)
+            block.weigh(df[[words[w] for w in block.vocabulary]], n_docs)
+            block.settle_space(latent_space(places, block))
+            hits = places.mapInArrow(lambda it, b=block: _search(it, b), SCHEMA)
+            found.append(settle(hits.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs", "answer")))))
+        discard(spark, path)
     if not found:
         return spark.createDataFrame([], SCHEMA)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
+    # An item that two blocks share has a row in each.
+    return reduce(DataFrame.union, found).groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs", "answer")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

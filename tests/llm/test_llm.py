@@ -290,7 +290,7 @@ def test_decontamination(spark, edge, empty):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "too short")], "item_id long, text string")
     assert decontamination.leaks(docs, odd).count() == 0
-    split = decontamination.leaks(docs, bench, items=7)
+    split = decontamination.leaks(docs, bench, passages=7, vocabulary=300)  # many blocks, several readings, items in two blocks
     assert {(r["doc_id"], r["item_id"]) for r in split.collect()} == want
 
 
