@@ -8,13 +8,15 @@ same place of phrases with the same trigger hash, so
 
 1. occurrences of one dictionary phrase after its first in corpus order are repeated whole, however many there are;
 2. a phrase whose trigger hash no other phrase has can't share a run with any other and is done;
-3. suffixes of the other dictionary phrases, read at their first occurrence only, are ranked up to SPAN bytes. Corpus
-   order needs equal ranks alone, so the ranks are the names of prefix doubling (Karp, Miller and Rosenberg; 128
-   bits): the order among different suffixes, which a suffix array holds besides, is never used.
+3. the other dictionary phrases, read at their first occurrence only, are gathered by trigger, and the suffix array of
+   their texts is built (Larsson and Sadakane, 2007: ranks by eight bytes, doubled and refined only where suffixes still
+   tie, up to SPAN bytes). Suffixes of one rank are equal strings; the parse says where each occurs first, and put in its
+   order all but the first of a rank are repeats.
 
 Work on highly repetitive text is that of its dictionary. Rows for one trigger or run are cut to a bounded number in
 each task before they are shuffled: later copies in a task are settled there, and a trigger that is frequent in a task
-is spread by phrase, with one marker row for the other tasks.
+is spread by phrase, with one marker row for the other tasks. Phrases of such a crowd are compared run by run under
+128-bit names instead of in one suffix array.
 
 Defined cases: a null or empty text has no bytes and nothing is removed; texts shorter than SPAN are kept; rows that
 share a doc_id are one place in corpus order: they don't repeat each other, and what is removed in one is removed in
@@ -184,43 +186,90 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], span: int, window: int) ->
         yield _flush(held)
 
 
-def _list(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
+def suffix_ranks(data: np.ndarray, span: int) -> np.ndarray:
+    """For every place of data the rank of the suffix there by its first span bytes: equal ranks for equal bytes, in order.
 
-
-def _name_runs(parts: list[tuple], span: int) -> Iterator[pa.RecordBatch]:
-    """parts: doc_id, first start, number of runs, trigger key or None, bytes. Rows of names to be compared under a key.
-
-    Phrases of a trigger go as one row under it; those of a frequent trigger go run by run, each under its own name,
-    and later copies in this batch are settled here.
+    Bytes beyond the end count as zero. Suffixes are ranked by eight bytes and refined by doubling; a suffix that ties
+    with no other keeps its rank, so work goes down to what repeats.
+    """
+    n = len(data)
+    padded = np.concatenate((data, np.zeros(span + 8, np.uint8)))
+    first, width = np.zeros(n + span, np.uint64), min(8, span)
+    for k in range(width):
+        first = first << np.uint64(8) | padded[k : k + n + span].astype(np.uint64)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(n + span, np.int64)
+    head = np.flatnonzero(np.concatenate(([True], first[order][1:] != first[order][:-1])))
+    size = np.diff(np.concatenate((head, [n + span])))
+    rank[order] = np.repeat(head, size)
+    tied = order[np.repeat(size > 1, size)]
+    while width < span:
+        step = min(width, span - width)
+        tied = tied[tied + step < n + span]
+        if not len(tied):
+            break
+        own, later = rank[tied], rank[tied + step]
+        by = np.lexsort((later, own))
+        tied, own, later = tied[by], own[by], later[by]
+        new_own = np.concatenate(([True], own[1:] != own[:-1]))
+        new = new_own | np.concatenate(([True], later[1:] != later[:-1]))
+        head = np.flatnonzero(new)
+        size = np.diff(np.concatenate((head, [len(tied)])))
+        group = np.flatnonzero(new_own)[np.cumsum(new_own) - 1]
+        rank[tied] = own + np.repeat(head, size) - group
+        tied = tied[np.repeat(size > 1, size)]
+        width += step
+    return rank[:n]
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(_offsets(sizes).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _open_rows(parts: list[tuple], span: int) -> Iterator[pa.RecordBatch]:
+    """parts: doc_id, first start, number of runs, trigger key or None, bytes. Rows to be compared under a key.
+
+    A phrase of a trigger goes as its text under it; those of a frequent trigger go run by run, each with the second
+    half of its name under the first, and later copies in this batch are settled here.
     """
     n = np.array([p[2] for p in parts], np.int64)
-    data = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
-    first = np.cumsum(n + span - 1) - (n + span - 1)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    h2 = _names(data, span, 0x2468)[np.repeat(first, n) + within]
     ids, starts = np.array([-1 if p[0] is None else p[0] for p in parts], np.int64), np.array([p[1] for p in parts], np.int64)
     null, spread = np.array([p[0] is None for p in parts]), np.array([p[3] is None for p in parts])
-    columns = ["key", "doc_id", "meta", "names"]
+    columns = ["key", "doc_id", "meta", "bytes"]
     if not spread.all():
         cold = np.flatnonzero(~spread)
         key = pa.array([parts[i][3] for i in cold], pa.int64())
-        names = h2[np.repeat(~spread, n)].view(np.int64)
-        yield pa.RecordBatch.from_arrays([key, pa.array(ids[cold], mask=null[cold]), pa.array(starts[cold] << 1), _list(names, n[cold])], columns)
+        yield pa.RecordBatch.from_arrays([key, pa.array(ids[cold], mask=null[cold]), pa.array(starts[cold] << 2), pa.array([parts[i][4] for i in cold], pa.binary())], columns)
     if spread.any():
-        runs = np.repeat(spread, n)
-        h1 = _names(data, span, 0x1357)[(np.repeat(first, n) + within)[runs]]
-        h2, where = h2[runs], (np.repeat(starts, n) + within)[runs]
-        id_, null = np.repeat(ids, n)[runs], np.repeat(null, n)[runs]
-        order = np.lexsort((where, id_, ~null, h2, h1))
-        fresh = np.concatenate(([True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])))
-        lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        later = np.zeros(len(order), bool)
-        later[order] = (id_[order] != id_[lead]) | (where[order] != where[lead]) | (null[order] != null[lead])
+        hot = np.flatnonzero(spread)
+        n = n[hot]
+        data = np.frombuffer(b"".join(parts[i][4] for i in hot), np.uint8)
+        first, within = _offsets(n + span - 1)[:-1], np.arange(n.sum()) - np.repeat(_offsets(n)[:-1], n)
+        h1, h2 = (_names(data, span, salt)[np.repeat(first, n) + within] for salt in (0x1357, 0x2468))
+        where, id_, null = np.repeat(starts[hot], n) + within, np.repeat(ids[hot], n), np.repeat(null[hot], n)
+        later = _later(np.lexsort((where, id_, ~null, h2, h1)), (h1, h2), (id_, where, null))
         # A settled copy is routed by its own place, away from the others of its name.
         key = np.where(later, _mix(h1, where.astype(np.uint64) + id_.astype(np.uint64) * _M1, np.uint64(0x44)), h1)
-        names = _list(np.where(later, np.uint64(0), h2).view(np.int64), np.ones(len(h2), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_, mask=null), pa.array(where << 1 | later), names], columns)
+        sizes = np.where(later, 0, 8)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(id_, mask=null), pa.array(where << 2 | 2 | later), _binary(h2[~later], sizes)], columns)
+
+
+def _later(order: np.ndarray, same: tuple[np.ndarray, ...], place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which rows of equal values lie after the first of them; order sorts by values and then by place. One place is one row."""
+    out = np.zeros(len(order), bool)
+    if len(order):
+        fresh = np.zeros(len(order), bool)
+        fresh[0] = True
+        for x in same:
+            fresh[1:] |= x[order][1:] != x[order][:-1]
+        lead = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        for x in place:
+            out[order] |= x[order] != x[lead]
+    return out
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -236,47 +285,66 @@ def _runs_of(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
                     parts.append((id_, start, count, p["key"], raw[start : start + count + span - 1]))
                     size += count
                 if size >= BATCH:
-                    yield from _name_runs(parts, span)
+                    yield from _open_rows(parts, span)
                     parts, size = [], 0
     if parts:
-        yield from _name_runs(parts, span)
+        yield from _open_rows(parts, span)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and corpus order -> removed intervals, as doc_id and start << 20 | length.
+    """Rows sorted by key -> removed intervals, as doc_id and start << 20 | length.
 
-    Holds the names under one key: those of GROUP phrases at most, or the one name of a run.
+    Whole keys are taken together up to BATCH bytes: a key has the texts of GROUP phrases at most, or the one run of a name.
     """
-    key, place, seen, pending = None, None, set(), []
+    held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
-        ids, out = [], []
-        for k, id_, meta, names in zip(*(c.to_pylist() for c in b.columns)):
-            start = meta >> 1
-            if meta & 1:
-                ids.append(id_)
-                out.append(start << 20 | span)
-                continue
-            if k != key:
-                key, seen, pending = k, set(), []
-            elif (id_, start) != place:
-                seen.update(*pending)
-                pending = []
-            place = (id_, start)
-            pending.append(names)
-            if seen:
-                length = 0
-                for i, name in enumerate(names):
-                    if name in seen:
-                        length += 1
-                    elif length:
-                        ids.append(id_)
-                        out.append(start + i - length << 20 | length + span - 1)
-                        length = 0
-                if length:
-                    ids.append(id_)
-                    out.append(start + len(names) - length << 20 | length + span - 1)
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "gone"])
+        held.append(b)
+        size += b.nbytes
+        if size < BATCH:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table["key"].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+        if cut:
+            yield from _repeats_of(table.slice(0, cut), span)
+            held = table.slice(cut).to_batches()
+            size = sum(x.nbytes for x in held)
+    if held:
+        yield from _repeats_of(pa.Table.from_batches(held), span)
+
+
+def _repeats_of(table: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
+    key, meta = table["key"].to_numpy(), table["meta"].to_numpy()
+    null = table["doc_id"].is_null().to_numpy()
+    ids = table["doc_id"].fill_null(-1).to_numpy()
+    start, kind = meta >> 2, meta & 3
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.flatnonzero(kind == 3), start[kind == 3], np.full((kind == 3).sum(), span))]
+    named = np.flatnonzero(kind == 2)
+    if len(named):
+        name = np.frombuffer(b"".join(table["bytes"].take(pa.array(named)).to_pylist()), np.uint64)
+        order = np.lexsort((start[named], ids[named], ~null[named], name, key[named]))
+        gone = named[_later(order, (key[named], name), (ids[named], start[named], null[named]))]
+        found.append((gone, start[gone], np.full(len(gone), span)))
+    rows = np.flatnonzero(kind == 0)
+    if len(rows):
+        texts = table["bytes"].take(pa.array(rows)).to_pylist()
+        sizes = np.array(list(map(len, texts)), np.int64)
+        runs = sizes - span + 1
+        within = np.arange(runs.sum()) - np.repeat(_offsets(runs)[:-1], runs)
+        rank = suffix_ranks(np.frombuffer(b"".join(texts), np.uint8), span)[np.repeat(_offsets(sizes)[:-1], runs) + within]
+        of = np.repeat(rows, runs)
+        where = start[of] + within
+        later = _later(np.lexsort((where, ids[of], ~null[of], rank)), (rank,), (ids[of], where, null[of]))
+        # Neighbouring repeated runs of a phrase are one interval.
+        edge = np.diff(np.concatenate(([0], later.astype(np.int8), [0])))
+        first = np.concatenate(([False], of[1:] != of[:-1], [False]))
+        opens = np.flatnonzero((edge == 1) | (first & np.concatenate((later, [False])) & np.concatenate(([False], later))))
+        closes = np.flatnonzero((edge == -1) | (first & np.concatenate((later, [False])) & np.concatenate(([False], later))))
+        found.append((of[opens], where[opens], closes - opens + span - 1))
+    at, begin, length = (np.concatenate(x) for x in zip(*found))
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at], mask=null[at]), pa.array(begin << 20 | length)], ["doc_id", "gone"])
 
 
 def _spans(where: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -338,9 +406,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, window: int = WINDOW, full
 
     opened = found.where("NOT gone").groupBy("doc_id").agg(F.collect_list(F.struct("meta", "key")).alias("open")).withColumnRenamed("doc_id", "at_id")
     opened = base.join(opened, F.col("doc_id").eqNullSafe(F.col("at_id"))).select("doc_id", "text", "open")
-    names = opened.mapInArrow(lambda it: _runs_of(it, span), "key bigint, doc_id bigint, meta bigint, names array<bigint>")
-    names = names.repartition("key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_first(), "meta")
-    marks = names.mapInArrow(lambda it: _repeats(it, span), "doc_id bigint, gone bigint")
+    rows = opened.mapInArrow(lambda it: _runs_of(it, span), "key bigint, doc_id bigint, meta bigint, bytes binary")
+    marks = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _repeats(it, span), "doc_id bigint, gone bigint")
     whole = found.where("gone").select("doc_id", F.shiftleft(start, 20).bitwiseOR(count + (span - 1)).alias("gone"))
     marks = whole.union(marks).groupBy("doc_id").agg(F.collect_list("gone").alias("gone")).withColumnRenamed("doc_id", "mark_id")
     joined = base.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left").select("doc_id", "text", "gone")

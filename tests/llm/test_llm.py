@@ -129,6 +129,18 @@ def test_substring_dedup(spark, edge, empty, monkeypatch, change):
         assert substring_dedup.remove_repeats(empty).count() == 0 and substring_dedup.remove_repeats(edge).count() == len(EDGE)
 
 
+@pytest.mark.parametrize("letters,span", [(1, 9), (2, 20), (3, 100), (200, 7)])
+def test_suffix_ranks(letters, span):
+    data = np.random.default_rng(letters).integers(97, 97 + letters, 700).astype(np.uint8)
+    data[300:500] = data[50:250]
+    raw = data.tobytes() + bytes(2 * span)
+    order = sorted({raw[i : i + span] for i in range(len(data))})
+    rank = substring_dedup.suffix_ranks(data, span)
+    place = {w: k for k, w in enumerate(order)}
+    dense = {r: k for k, r in enumerate(sorted(set(rank.tolist())))}
+    assert [dense[r] for r in rank.tolist()] == [place[raw[i : i + span]] for i in range(len(data))]
+
+
 # ---------------------------------------------------------------- quality
 
 
