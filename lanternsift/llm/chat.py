@@ -4,9 +4,11 @@ Every participant of a conversation gets a rendering in which its own turns are
 are named user turns; the mask lists the character ranges of the assistant's words, the only ones a loss may see.
 System turns stay system turns in every perspective and are no participant.
 
-A rendering is cut into parts of PART_TURNS turn numbers, so no row grows with its conversation: a conversation that
-holds a third of all rows becomes many parts, spread over the cluster. first_char says where a part begins in the
-whole rendering; masks are relative to their part.
+A rendering is cut into parts of PART_TURNS turn numbers, and a part into pieces of PART_ROWS turns, so no row grows
+with its conversation: one that holds a third of all rows becomes many rows, spread over the cluster, and so do any number
+of turns that share a number or have none. Parts beyond PART_ROWS turns are found by a count; only they are sorted, over
+range partitions, and numbered from the partitions' counts. first_char says where a piece begins in the whole rendering;
+masks are relative to their piece.
 
 Defined cases: a null text is rendered as empty; a null role is a participant named "unknown"; a null turn comes before
 all others; rows that share a turn are ordered by role and text, repeated rows are all rendered; a null conv_id is a
@@ -19,24 +21,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanternsift.llm.common import slim
+from lanternsift.llm.common import settle, slim
 
 PART_TURNS = 256
+PART_ROWS = 4096
 SYSTEM = "system"
 UNKNOWN = "unknown"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
-def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, speaker, part, first_char, n_turns, n_target, rendered, mask (array of start and end)."""
+def _pieces(base: DataFrame, part_rows: int) -> DataFrame:
+    """conv_id, part, piece and its turns in order."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")  # the number leads; nulls sort first
+    sizes = base.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+    crowded = sizes.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.lit(True).alias("_crowd"))
+    marked = base.join(crowded, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")), "left").drop("_c", "_p")
+    calm = marked.where("_crowd IS NULL").groupBy("conv_id", "part").agg(turns).select("conv_id", "part", F.lit(0).cast("bigint").alias("piece"), "turns")
+    order = ["conv_id", "part", "turn", "role", "text", "_id"]  # the id spreads rows that are equal in everything
+    sorted_ = marked.where("_crowd").withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(sorted_.withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33)).drop("_id", "_crowd"))
+    # A row for each task that holds some of a part; a part has as many as there are tasks at most.
+    held = placed.groupBy("conv_id", "part", "_task").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id", "part").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), F.col("_task").alias("_t"), "_low", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    ranked = placed.join(held, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")) & (F.col("_task") == F.col("_t")))
+    piece = F.floor((F.col("_at") - F.col("_low") + F.col("_before")) / part_rows).cast("bigint")
+    return calm.union(ranked.withColumn("piece", piece).groupBy("conv_id", "part", "piece").agg(turns))
+
+
+def perspectives(turns: DataFrame, part_turns: int = PART_TURNS, part_rows: int = PART_ROWS) -> DataFrame:
+    """conv_id, speaker, part, piece, first_char, n_turns, n_target, rendered, mask (array of start and end)."""
     base = slim(turns, "conv_id", "turn", "role", "text").select(
         "conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-1)).cast("bigint").alias("part"),
     )
     speakers = base.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("role").alias("speaker")).distinct()
-    # The turn number leads the sort struct; nulls sort first.
-    parts = base.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    seen = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "part", "speaker", "turns")
+    seen = _pieces(base, part_rows).join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "part", "piece", "speaker", "turns")
     mine = lambda t: (t["role"] == F.col("speaker")) & (t["role"] != SYSTEM)
     head = lambda t: F.concat(
         F.lit(OPEN),
@@ -53,42 +73,43 @@ def perspectives(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         return F.struct((end + len(CLOSE)).alias("at"), F.when(p["m"], F.concat(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
 
     done = pieces.select(
-        "conv_id", "speaker", "part",
+        "conv_id", "speaker", "part", "piece",
         F.size("pieces").cast("bigint").alias("n_turns"),
         F.size(F.filter("pieces", lambda p: p["m"])).cast("bigint").alias("n_target"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["h"], p["t"], F.lit(CLOSE))), "").alias("rendered"),
         F.aggregate("pieces", start, step, lambda acc: acc["mask"]).alias("mask"),
     )
-    before = Window.partitionBy("conv_id", "speaker").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id", "speaker").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum(F.length("rendered").cast("bigint")).over(before), F.lit(0)).cast("bigint")
-    return done.select("conv_id", "speaker", "part", first.alias("first_char"), "n_turns", "n_target", "rendered", "mask")
+    return done.select("conv_id", "speaker", "part", "piece", first.alias("first_char"), "n_turns", "n_target", "rendered", "mask")
 
 
 def digest(rotated: DataFrame) -> DataFrame:
     """Flat columns for comparison: the mask as text, the rendering as text and digest."""
     marks = F.array_join(F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))), ",")
-    return rotated.select("conv_id", "speaker", "part", "first_char", "n_turns", "n_target", "rendered", marks.alias("mask_spans"))
+    return rotated.select("conv_id", "speaker", "part", "piece", "first_char", "n_turns", "n_target", "rendered", marks.alias("mask_spans"))
 
 
 ORACLE_SQL = f"""
 WITH b AS (
   SELECT conv_id, turn, coalesce(role, '{UNKNOWN}') AS role, coalesce(text, '') AS text,
          coalesce(CAST(floor(turn / {float(PART_TURNS)}) AS BIGINT), -1) AS part FROM conversations),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // {PART_ROWS} AS piece FROM b),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM b WHERE role <> '{SYSTEM}'),
 p AS (
-  SELECT b.conv_id, b.part, s.speaker, b.turn, b.role, b.text, b.role = s.speaker AS mine,
+  SELECT b.conv_id, b.part, b.piece, s.speaker, b.turn, b.role, b.text, b.role = s.speaker AS mine,
          '{OPEN}' || CASE WHEN b.role = '{SYSTEM}' THEN '{SYSTEM}' WHEN b.role = s.speaker THEN 'assistant' ELSE 'user name=' || b.role END || chr(10) AS h
-  FROM b JOIN s ON b.conv_id IS NOT DISTINCT FROM s.conv_id),
+  FROM n AS b JOIN s ON b.conv_id IS NOT DISTINCT FROM s.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(h) + length(text) + 11) OVER (
-           PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+           PARTITION BY conv_id, speaker, part, piece ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM p),
 g AS (
-  SELECT conv_id, speaker, part, count(*) AS n_turns, CAST(count(*) FILTER (WHERE mine) AS BIGINT) AS n_target,
+  SELECT conv_id, speaker, part, piece, count(*) AS n_turns, CAST(count(*) FILTER (WHERE mine) AS BIGINT) AS n_target,
          string_agg(h || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
          coalesce(string_agg(CAST(CAST(off + length(h) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(off + length(h) + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE mine), '') AS mask_spans
-  FROM o GROUP BY conv_id, speaker, part)
-SELECT conv_id, speaker, part, n_turns, n_target, rendered, mask_spans,
-       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, speaker ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_char
+  FROM o GROUP BY conv_id, speaker, part, piece)
+SELECT conv_id, speaker, part, piece, n_turns, n_target, rendered, mask_spans,
+       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, speaker ORDER BY part, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_char
 FROM g
 """

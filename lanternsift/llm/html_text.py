@@ -53,6 +53,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = frozenset("ul ol dl table tbody thead tfoot article section main div body html aside nav header footer form blockquote td th figure fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td html blockquote header".split())
+#: Each of these is a path of its own, so that a list of links beside a list of things is told apart.
+LISTS = frozenset("ul ol dl table".split())
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 #: Whole names of classes and ids that declare what isn't the article; what is no part of an article's structure either.
 SKIP_NAME = frozenset(
@@ -116,7 +118,7 @@ class _Reader:
             box = len(self.containers) - 1
             path = self._path(("box", box))
         elif tag in BLOCKS:
-            path = self._path((path, label))
+            path = self._path((path, label, len(self.tags) if tag in LISTS else -1))
         self.tags[path] += 1
         self.open.append((tag, skipped, box, path))
         self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -293,12 +295,12 @@ def _chosen(blocks: list[tuple[str, int, int, int]], tags: list[int], containers
             near[before[home[p]]].append(ratio[p])
         before[home[p]] = p
     smooth = {p: SELF * ratio[p] + (1 - SELF) * (sum(near[p]) / len(near[p]) if near[p] else ratio[p]) for p in paths}
-    fused = {p: smooth[p] * plain[p] * log1p(stats[p][0]) for p in paths}
+    menu = {p for p in paths if stats[p][2] > LINKS * stats[p][0]}
+    fused = {p: 0.0 if p in menu else smooth[p] * plain[p] * log1p(stats[p][0]) for p in paths}
     best = max(paths, key=lambda p: fused[p])
     if fused[best] <= 0:
         return [False] * len(blocks)
     content = {p for p in paths if fused[p] >= THRESHOLD * fused[best]}
-    menu = {p for p in paths if stats[p][2] > LINKS * stats[p][0]}
     full = {home[p] for p in content}
     # A container between two content ones of one parent belongs to them.
     first: dict[int, int] = {}

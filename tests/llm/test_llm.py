@@ -205,6 +205,18 @@ def test_chat(spark, empty):
     assert chat.perspectives(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_turns_of_one_number_are_cut_into_pieces(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, 7, "ab"[i % 2], f"t{i % 50}") for i in range(400)] + [(None, None, "a", "same")] * 90 + [(2, 1, "a", "x"), (2, 2, "b", "y")]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    whole, cut = chat.perspectives(df).collect(), chat.perspectives(df, part_rows=32).collect()
+    assert all(r["n_turns"] <= 32 for r in cut) and {r["piece"] for r in whole} == {0}
+    for r in whole:
+        of = sorted((c for c in cut if (c["conv_id"], c["speaker"], c["part"]) == (r["conv_id"], r["speaker"], r["part"])), key=lambda c: c["piece"])
+        assert "".join(c["rendered"] for c in of) == r["rendered"] and [c["first_char"] for c in of] == [sum(len(x["rendered"]) for x in of[:k]) for k in range(len(of))]
+        assert [(m["start"] + c["first_char"], m["end"] + c["first_char"]) for c in of for m in c["mask"]] == [tuple(m) for m in r["mask"]]
+
+
 # ---------------------------------------------------------------- html
 
 
@@ -232,6 +244,41 @@ def test_html_cases(page, want):
     assert html_text.extract(page) == want
 
 
+def test_html_blocks_by_hand():
+    prose = "This is a sentence, and one more. " * 4
+    links = "<ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ("Home", "News", "Sport")) + "</ul>"
+    p = f"<p>{prose}</p>"
+    cases = [
+        (f"<body><div>{links}</div><div>{p}{p}</div><div><p>Copyright 2020 Foo Inc.</p></div></body>", [prose, prose]),
+        (f'<div class="top"><a>One</a><a>Two</a></div><div>{p}</div>', [prose]),
+        (f'<article><h1>T</h1>{p}<div class="related-work"><p>Kept.</p></div><div class="share-price"><p>Kept, 5.</p></div><p id="social-history">Kept too.</p></article>', ["T", prose, "Kept.", "Kept, 5.", "Kept too."]),
+        (f"<div><h2>Head</h2>{p}<ul><li>a thing</li><li>more of it</li></ul>{links}</div>", ["Head", prose, "a thing", "more of it"]),
+        (f"<main>{p}<section id=comments>{p}</section><div class='comment-list'>{p}</div><aside>{p}</aside><p hidden>x</p></main>", [prose]),
+        (f"<div><div>{p}{p}</div><div><p>Short one.</p></div><div>{p}{p}</div></div>", [prose, prose, "Short one.", prose, prose]),
+        (f"<div>{'<div>' * 3000}{p}<nav>menu, of things.</nav>{'</div>' * 3000}</div>", [prose]),
+        ("<a href=/>Only</a> <a href=/x>links</a>", []), ("x < y & z &lt;b&gt; <3", ["x < y & z <b> <3"]), ("<p>a<!-- never closed <p>b", ["a"]), ("<p>a<script>b</p>", ["a"]), ('<p title="a>b">c</p>', ["c"]),
+    ]
+    for page, want in cases:
+        assert html_text.extract(page).split("\n\n") == ([" ".join(w.split()) for w in want] or [""]), page[:80]
+
+
+def test_html_hostile_pages_are_linear():
+    import time
+
+    for page in ("<a " * 200_000, "<!--" * 150_000, "<div>" * 100_000, "<i>" * 40_000 + "<hr>" * 40_000, "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000, "<table>" + "<tr><td>" * 40_000, "<ul><li>" + "<p><i>" * 40_000, '<a href="' * 50_000, "<" * 200_000, "</x>" * 100_000, "&" * 200_000):
+        t = time.perf_counter()
+        html_text.extract(page)
+        assert time.perf_counter() - t < 6, page[:12]
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, key string"
+    rows = [(1, "u", "<p>A, b.</p>", "t", 0, "k"), (1, "u", "<p>A, b.</p>", "t", 0, "k"), (None, None, None, None, None, None), (2, "v", "", "t", 1, "k")]
+    got = sorted(map(tuple, html_text.extract_pages(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    assert got == sorted([(1, "u", "A, b.", 5), (1, "u", "A, b.", 5), (None, None, "", 0), (2, "v", "", 0)], key=repr)
+    assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
+
+
 # ---------------------------------------------------------------- BPE
 
 
