@@ -10,16 +10,40 @@ from pyspark.sql import functions as F
 from lanternsift.operators.metrics import fbeta, ratio
 
 
-def sweep(scored: DataFrame, by: list[str]) -> DataFrame:
-    """by, threshold, tp, fp, positives, precision, recall at each distinct score.
+#: Ranges of scores into which a group's points are cut; a group, however large, is spread over so many tasks.
+PARTS = 64
+
+
+def _cut(points: DataFrame, by: list[str], score: str) -> DataFrame:
+    """points with _b, the range of the score: about equally many points of a group in each, by approximate quantiles."""
+    edges = points.groupBy(*by).agg(F.percentile_approx(score, [i / PARTS for i in range(1, PARTS)], 1000).alias("_e"))
+    # A row a group, and groups are a dimension.
+    return points.join(F.broadcast(edges), by).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col(score)))).drop("_e")
+
 
-    Scores are first grouped, so ties are one row, a hot tag is pre-aggregated and the running sum is over distinct scores.
+def _running(points: DataFrame, by: list[str]) -> DataFrame:
+    """points (by, threshold, p, n) with tp and fp, the sums from the highest threshold down to each, and positives and negatives.
+
+    Sums within a range of scores are added to those of the ranges above it, so no task has a whole group.
     """
-    usable = scored.where(F.col("gold") | F.col("complete"))
-    points = usable.groupBy(*by, F.col("score").alias("threshold")).agg(F.count_if("gold").alias("p"), F.count_if(~F.col("gold")).alias("n"))
-    run = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    cut = _cut(points, by, "threshold")
     whole = Window.partitionBy(*by)
-    out = points.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("n").over(run), "positives": F.sum("p").over(whole), "negatives": F.sum("n").over(whole)}).where("positives > 0")
+    above = whole.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    ranges = sums.select(*by, "_b", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in ("_p", "_n")), F.sum("_p").over(whole).alias("positives"), F.sum("_n").over(whole).alias("negatives"))
+    within = Window.partitionBy(*by, "_b").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(F.broadcast(ranges), [*by, "_b"])
+    return joined.withColumns({"tp": F.col("_p0") + F.sum("p").over(within), "fp": F.col("_n0") + F.sum("n").over(within)}).drop("_p0", "_n0", "_b")
+
+
+def _points(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct scores with their positives and negatives: ties are one row and a hot group is pre-aggregated."""
+    return scored.groupBy(*by, F.col("score").alias("threshold")).agg(F.count_if("gold").alias("p"), F.count_if(~F.col("gold")).alias("n"))
+
+
+def sweep(scored: DataFrame, by: list[str]) -> DataFrame:
+    """by, threshold, tp, fp, positives, precision, recall at each distinct score."""
+    out = _running(_points(scored.where(F.col("gold") | F.col("complete")), by), by).where("positives > 0")
     return out.select(*by, "threshold", "tp", "fp", "positives", "negatives", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"))
 
 
@@ -124,10 +148,9 @@ def document_cut(scored: DataFrame, recall_floor: float, specificity_floor: floa
 
 def lower_quantiles(scored: DataFrame, by: list[str], qs: list[float]) -> DataFrame:
     """by, q, value: the element at floor(q * (n - 1)) of the positives' scores in order."""
-    w = Window.partitionBy(*by)
-    ranked = scored.where("gold").withColumns({"_i": F.row_number().over(w.orderBy("score")) - 1, "_n": F.count(F.lit(1)).over(w)})
-    spots = F.explode(F.array(*(F.lit(q) for q in qs))).alias("q")
-    return ranked.select(*by, "score", "_i", "_n", spots).where(F.col("_i") == F.floor(F.col("q") * (F.col("_n") - 1))).select(*by, "q", F.col("score").alias("value"))
+    points = _running(_points(scored.where("gold"), by), by).select(*by, "threshold", (F.col("positives") - F.col("tp")).alias("_low"), "p", "positives")
+    spots = points.withColumn("q", F.explode(F.array(*(F.lit(q) for q in qs)))).withColumn("_k", F.floor(F.col("q") * (F.col("positives") - 1)))
+    return spots.where((F.col("_k") >= F.col("_low")) & (F.col("_k") < F.col("_low") + F.col("p"))).select(*by, "q", F.col("threshold").alias("value"))
 
 
 def quantile_bank(scored: DataFrame, group: str, recalls: list[float], priority: tuple[str, ...] = (), least: int = 30) -> DataFrame:
@@ -160,9 +183,8 @@ def wilson_lower(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 def roc_auc(scored: DataFrame, by: list[str]) -> DataFrame:
     """Rank-sum area; ties count half. Runs over distinct scores."""
-    points = scored.groupBy(*by, "score").agg(F.count_if("gold").alias("p"), F.count_if(~F.col("gold")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = points.withColumn("w", F.col("p") * (below + F.col("n") / 2.0))
+    points = _running(_points(scored, by), by)
+    pairs = points.withColumn("w", F.col("p") * (F.col("negatives") - F.col("fp") + F.col("n") / 2.0))
     return pairs.groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(*by, F.try_divide(F.col("w"), F.col("p") * F.col("n")).alias("auc"))
 
 
@@ -193,41 +215,54 @@ def calibration_error(bands: DataFrame) -> DataFrame:
     return bands.agg((F.sum(F.col("n") * F.abs(F.col("claimed") - F.col("actual"))) / F.sum("n")).alias("ece"))
 
 
+def pool_blocks(blocks: list[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Isotonic blocks (left, right, sum, weight) from ascending ones; blocks of parts pool to those of the whole."""
+    out: list[list[float]] = []
+    for b in blocks:
+        out.append(list(b))
+        while len(out) > 1 and out[-2][2] * out[-1][3] > out[-1][2] * out[-2][3]:
+            last = out.pop()
+            top = out[-1]
+            top[1], top[2], top[3] = last[1], top[2] + last[2], top[3] + last[3]
+    return out
+
+
 def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[float, float, float]]:
     """Isotonic blocks (left, right, value) over ascending distinct x with means y and weights w."""
-    blocks: list[list[float]] = []
-    for xi, yi, wi in zip(x, y, w):
-        blocks.append([xi, xi, yi * wi, wi])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
-            last = blocks.pop()
-            top = blocks[-1]
-            top[1], top[2], top[3] = last[1], top[2] + last[2], top[3] + last[3]
-    return [(a, b, s / m) for a, b, s, m in blocks]
+    return [(a, b, s / m) for a, b, s, m in pool_blocks([(xi, xi, yi * wi, wi) for xi, yi, wi in zip(x, y, w)])]
 
 
 def isotonic(points: DataFrame, by: str, max_knots: int = 64, min_spans: int = 0) -> DataFrame:
     """by, x, y: knots of a flat-in-blocks isotonic curve of each group with min_spans points, and of all as the group NULL.
 
-    A task gets distinct scores, not rows.
+    Distinct scores are pooled range by range, and only the ranges' blocks meet: a task never has a whole group's scores.
     """
     kind = points.schema[by].dataType.simpleString()
     enough = points.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= min_spans) & F.col(by).isNotNull()).select(by)
-    each = points.join(F.broadcast(enough), by).select(by, "score", "gold")
-    every = each.union(points.select(F.lit(None).cast(kind).alias(by), "score", "gold"))
-    grouped = every.groupBy(by, "score").agg(F.avg(F.col("gold").cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("score")
+    each = points.join(F.broadcast(enough), by).select(F.col(by).alias("_g"), F.lit(False).alias("_all"), "score", "gold")
+    every = each.union(points.select(F.lit("").cast(kind) if kind == "string" else F.lit(0).cast(kind), F.lit(True), "score", "gold"))
+    grouped = every.groupBy("_g", "_all", "score").agg(F.sum(F.col("gold").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score")
+        blocks = pool_blocks(list(zip(rows["score"], rows["score"], rows["s"], rows["w"])))
+        made = pd.DataFrame(blocks, columns=["low", "high", "s", "w"])
+        return made.assign(_g=rows["_g"].iloc[0], _all=rows["_all"].iloc[0])[["_g", "_all", "low", "high", "s", "w"]]
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("low")
         knots = []
-        for a, b, v in pool_adjacent(part["score"].to_numpy(), part["y"].to_numpy(), part["w"].to_numpy()):
-            knots.append((a, v))
+        for a, b, s, m in pool_blocks(list(zip(rows["low"], rows["high"], rows["s"], rows["w"]))):
+            knots.append((a, s / m))
             if b > a:
-                knots.append((b, v))
+                knots.append((b, s / m))
         if len(knots) > max_knots:
             knots = [knots[i] for i in np.unique(np.linspace(0, len(knots) - 1, max_knots).round().astype(int))]
-        return pd.DataFrame({by: [part[by].iloc[0]] * len(knots), "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
+        name = None if rows["_all"].iloc[0] else rows["_g"].iloc[0]
+        return pd.DataFrame({by: [name] * len(knots), "x": [k[0] for k in knots], "y": [k[1] for k in knots]})
 
-    return grouped.groupBy(by).applyInPandas(one, f"{by} {kind}, x double, y double")
+    blocks = _cut(grouped, ["_g", "_all"], "score").groupBy("_g", "_all", "_b").applyInPandas(part, f"_g {kind}, _all boolean, low double, high double, s double, w double")
+    return blocks.groupBy("_g", "_all").applyInPandas(one, f"`{by}` {kind}, x double, y double")
 
 
 def calibrated(points: DataFrame, knots: DataFrame, by: str) -> DataFrame:
