@@ -15,7 +15,7 @@ from lanternsift.plans.queries import queries
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
-HEADLINES = ["d_email_spans", "d_phone_spans", "d_card_spans", "d_ipv4_spans", "p_exact_dups", "p_leakage", "p_decontaminate", "g_masked_metrics", "g_threshold_sweep", "g_auc", "s_digest_split", "a_html_text"]
+HEADLINES = ["d_email_spans", "d_phone_spans", "d_card_spans", "d_ipv4_spans", "p_exact_dups", "p_leakage", "p_decontaminate", "g_masked_metrics", "g_threshold_sweep", "g_auc", "s_digest_split", "a_html_text", "f_hashed", "k_scores"]
 
 
 def seconds(run) -> float:

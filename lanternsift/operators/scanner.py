@@ -47,7 +47,7 @@ def python_pattern(pattern: str) -> re.Pattern:
     return re.compile(bare, flags)
 
 
-# ---------------------------------------------------------------- checks of one identifier
+# --- checks of one identifier
 
 
 def digits_of(hit: str) -> str:
@@ -140,7 +140,7 @@ def born(hit: str, last_year: int) -> bool:
     return 1900 <= year <= last_year
 
 
-# ---------------------------------------------------------------- anchors
+# --- anchors
 
 
 class Text:
@@ -326,7 +326,7 @@ ANCHORS: dict[str, Callable[[Text, re.Pattern], Iterator[re.Match]]] = {
 }
 
 
-# ---------------------------------------------------------------- confidence
+# --- confidence
 
 
 def _bare_reference(t: str, m: re.Match) -> bool:
@@ -404,7 +404,7 @@ REGISTRY = _keyed()
 _PATTERNS = {k: python_pattern(d.pattern) for k, d in REGISTRY.items()}
 _SHAPE = {k: (d.type, f"regex/{d.name}", d.group) for k, d in REGISTRY.items()}
 
-# ---------------------------------------------------------------- names
+# --- names
 
 _NAME_TOKEN = re.compile(N.TOKEN.replace("(?U)", ""))
 _CAPITAL = re.compile("[A-Z]")
@@ -467,7 +467,7 @@ def _cut(s: str, i: int) -> int:
     return i
 
 
-# ---------------------------------------------------------------- resolution
+# --- resolution
 
 
 def _tier(h: Hit, models: list[Hit]) -> int:

@@ -52,7 +52,7 @@ def duck(sql: str) -> str:
     return sql
 
 
-# ---------------------------------------------------------------- planted identifiers: detectors and validators
+# --- planted identifiers: detectors and validators
 
 DETECTOR = {
     "email": "email", "phone": "phone_us", "ssn": "ssn", "licence": "us_driver_license", "card": "credit_card", "account": "account_number", "ipv4": "ip_address", "ipv6": "ipv6", "url": "url",
@@ -118,7 +118,7 @@ def v_dob(spark, sf_dir):
     return rows.select("k", "y", "m", "d", V.plausible_dob(*(F.col(c).cast("string") for c in "ymd"), F.lit("2024-06-01").cast("date")).alias("ok"))
 
 
-# ---------------------------------------------------------------- detectors over documents
+# --- detectors over documents
 
 _pieces = """SELECT doc_id, i, hits[i] AS text, list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos
 FROM (SELECT doc_id, hits, pieces, unnest(range(1, len(hits) + 1)) AS i
@@ -155,7 +155,7 @@ query("d_card_spans")(_on_documents("credit_card"))
 query("d_phone_spans")(_on_documents("phone_us"))
 
 
-# ---------------------------------------------------------------- resolution and classification
+# --- resolution and classification
 
 _span_sets = """SELECT k, kind, type, "start", "end", confidence, detector FROM (
   SELECT k, 'a' AS kind, 'PHONE_US' AS type, 0 AS "start", 12 AS "end", 0.85 AS confidence, 'regex/phone_us' AS detector FROM ids UNION ALL
@@ -208,7 +208,7 @@ def e_scan_documents(spark, sf_dir):
     return r.select("doc_id", "label", F.round("risk_score", 6).alias("risk"), F.size("entities").cast("bigint").alias("n"), F.to_json("entities").alias("entities"))
 
 
-# ---------------------------------------------------------------- sources
+# --- sources
 
 @query("a_html_text", """SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def a_html_text(spark, sf_dir):
@@ -259,7 +259,7 @@ def a_json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", F.json_array_length(F.to_json(F.json_object_keys("props"))).cast("bigint").alias("n_keys"))
 
 
-# ---------------------------------------------------------------- corpus preparation
+# --- corpus preparation
 
 _norm = "replace(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _digest = f"sha256({_norm})"

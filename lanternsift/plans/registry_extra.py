@@ -17,7 +17,7 @@ from lanternsift.plans.registry import IDS, _pieces, base, duck, query, table
 from lanternsift.plans.registry_metrics import S, _caps, _curve, _docs, _f, scored
 from lanternsift.sources.rendered import PLANTS, rendered
 
-# ---------------------------------------------------------------- crosswalk and normalisation
+# --- crosswalk and normalisation
 
 _kinds = """CASE k % 7 WHEN 0 THEN 'IP_ADDRESS' WHEN 1 THEN 'CREDIT_CARD' WHEN 2 THEN 'MRN' WHEN 3 THEN 'IP_ADDRESS' WHEN 4 THEN 'ADDRESS' WHEN 5 THEN 'URL' ELSE 'EMAIL' END"""
 
@@ -53,9 +53,9 @@ def p_normalise(spark, sf_dir):
     return rows.select("k", F.array_join("labels", ",").alias("labels"), F.array_join("native_labels", ",").alias("native_labels"), "label_complete")
 
 
-@query("p_stems", duck(f"SELECT k, CASE k % 6 WHEN 0 THEN 'pii2_eval' WHEN 1 THEN 'pii2_eval' WHEN 2 THEN 'govdocs2-dualjudge' WHEN 3 THEN 'plain' WHEN 4 THEN '' ELSE 'a_b' END AS stem FROM ({IDS}) AS i"))
+@query("p_stems", duck(f"SELECT k, CASE k % 6 WHEN 0 THEN 'notes2_eval' WHEN 1 THEN 'notes2_eval' WHEN 2 THEN 'letters2-graded' WHEN 3 THEN 'plain' WHEN 4 THEN '' ELSE 'a_b' END AS stem FROM ({IDS}) AS i"))
 def p_stems(spark, sf_dir):
-    names = "CASE k % 6 WHEN 0 THEN '30000_pii2_eval_25.15k' WHEN 1 THEN 'pii2_eval_30k' WHEN 2 THEN '23693_govdocs2-dualjudge-12.86k' WHEN 3 THEN 'plain' WHEN 4 THEN '12' ELSE 'a__b' END"
+    names = "CASE k % 6 WHEN 0 THEN '30000_notes2_eval_25.15k' WHEN 1 THEN 'notes2_eval_30k' WHEN 2 THEN '23693_letters2-graded-12.86k' WHEN 3 THEN 'plain' WHEN 4 THEN '12' ELSE 'a__b' END"
     return base(spark, sf_dir, f"SELECT k, {names} AS name FROM ({IDS})", "customer").select("k", X.canonical_stem(F.col("name")).alias("stem"))
 
 
@@ -106,7 +106,7 @@ def p_verify_clean(spark, sf_dir):
     return rows.select("k", F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"))
 
 
-# ---------------------------------------------------------------- splits
+# --- splits
 
 
 @query("s_crc32_split")
@@ -147,7 +147,7 @@ def s_snapshot_freeze(spark, sf_dir):
     return out
 
 
-# ---------------------------------------------------------------- model spans
+# --- model spans
 
 _CHECKED = {"card": "CREDIT_CARD", "ssn": "SSN", "routing": "BANK_ROUTING", "vin": "VEHICLE_ID", "swift": "SWIFT_BIC", "mac": "MAC_ADDRESS", "tax_id": "TAX_ID"}
 
@@ -182,7 +182,7 @@ def n_tokenise(spark, sf_dir):
     return rows.select("doc_id", F.size("t").alias("n"), F.coalesce(F.array_max("t.end"), F.lit(0)).alias("last_end"))
 
 
-# ---------------------------------------------------------------- triage and gates
+# --- triage and gates
 
 _WALK = {"mail": "EMAIL", "card": "CREDIT_CARD"}
 _tgold = f"SELECT k AS doc_id, CASE k % 3 WHEN 0 THEN 'mail' WHEN 1 THEN 'card' ELSE 'odd' END AS label, 10 AS gs, 20 AS ge, CASE WHEN k % 2 = 0 THEN '4111111111111111' ELSE '4111111111111112' END AS text FROM ({IDS}) AS i"
@@ -266,7 +266,7 @@ def g_report_lines(spark, sf_dir):
     return L.table_lines(n, {"tag": (18, "s"), "support": (6, "%d"), "tp": (6, "%d"), "recall": (7, "%.2f")}, [F.col("tag")], "recall")
 
 
-# ---------------------------------------------------------------- thresholds
+# --- thresholds
 
 
 @query("g_min_support", S + "," + _curve + f""" SELECT corpus || '/' || tag AS tag, CASE WHEN positives < 6 THEN 'Infinity'::DOUBLE ELSE threshold END AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY corpus, tag ORDER BY {_f(0.25)} DESC, threshold DESC) AS r FROM (SELECT *, tp / (tp + fp) AS precision, tp / positives AS recall FROM
@@ -326,7 +326,7 @@ def g_policy_globs(spark, sf_dir):
     return T.policy(measured, rules)
 
 
-# ---------------------------------------------------------------- transforms and searches
+# --- transforms and searches
 
 _cuts = "t AS (SELECT 'quality' AS tag, 0.5 AS cut UNION ALL SELECT 'toxic', 0.6)"
 _variant = "SELECT '{name}' AS variant, CAST(count(*) FILTER (WHERE gold AND ({fired})) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE NOT gold AND complete AND ({fired})) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE gold AND NOT ({fired})) AS BIGINT) AS fn FROM z"
@@ -404,7 +404,7 @@ def g_incremental_cut(spark, sf_dir):
     return R.incremental_cut(scored(spark, sf_dir), ["tag"], 0.8, 0.5, 0.05)
 
 
-# ---------------------------------------------------------------- linear models
+# --- linear models
 
 _fired = "SELECT doc_id, t.tag, doc_id % {m} = 0 AS f FROM {{labels}} CROSS JOIN (SELECT 'a' AS tag UNION ALL SELECT 'b' UNION ALL SELECT 'c' UNION ALL SELECT 'd') AS t"
 

@@ -22,7 +22,7 @@ def scored(spark, sf_dir):
 
 S = f"WITH s AS ({duck(_scored)}) "
 
-# ---------------------------------------------------------------- spans against gold
+# --- spans against gold
 
 _gold = f"SELECT k AS doc_id, CASE WHEN k % 2 = 0 THEN 'EMAIL' ELSE 'SSN' END AS type, 10 AS gs, 20 AS ge FROM ({IDS}) AS i UNION ALL SELECT k, 'MRN', 30, 38 FROM ({IDS}) AS i WHERE k % 3 = 0"
 _pred = f"""SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'URL' ELSE type END AS type, gs + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END AS gs, ge FROM ({_gold}) AS g WHERE doc_id % 5 <> 0
@@ -99,7 +99,7 @@ def g_enumerate(spark, sf_dir):
     return M.enumerate_labels(gold.withColumn("text", F.col("doc_id").cast("string")))
 
 
-# ---------------------------------------------------------------- documents and tags
+# --- documents and tags
 
 _docs = """SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'NONE' WHEN 1 THEN 'PII' ELSE 'PHI' END AS gold, CASE doc_id % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'PII' ELSE 'PHI' END AS pred,
   CAST(doc_id % 100 AS DOUBLE) / 100 AS gate, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 3 > 0 END AS target FROM {documents}"""
@@ -196,7 +196,7 @@ def g_slices(spark, sf_dir):
     return M.slices(rows, {"first": "a", "second": "b"}, "hit")
 
 
-# ---------------------------------------------------------------- thresholds
+# --- thresholds
 
 _curve = """u AS (SELECT * FROM s WHERE gold OR complete), pts AS (SELECT tag, score AS threshold, count(*) FILTER (WHERE gold) AS p, count(*) FILTER (WHERE NOT gold) AS n FROM u GROUP BY tag, score),
 c AS (SELECT tag, threshold, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, CAST(sum(p) OVER (PARTITION BY tag) AS BIGINT) AS positives, CAST(sum(n) OVER (PARTITION BY tag) AS BIGINT) AS negatives FROM pts WINDOW w AS (PARTITION BY tag ORDER BY threshold DESC)),
@@ -335,7 +335,7 @@ def g_policy(spark, sf_dir):
     return T.rank_arms(T.policy(measured, rules), "passed")
 
 
-# ---------------------------------------------------------------- features and linear models
+# --- features and linear models
 
 # The feature names of a text. Shapes are told apart by existence alone, so lookarounds become context.
 _toks = "list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z][a-zA-Z0-9’''_-]{0,39}|[0-9]+(?:[/.:-][0-9]+){0,5}'), lambda t: regexp_replace(replace(lower(t), '’', ''''), '[0-9]', '0', 'g'))"
@@ -379,8 +379,10 @@ c AS (SELECT tag, w, df, n, least(greatest(p, 1e-6), 1 - 1e-6) AS p, least(great
 weights AS (SELECT tag, w AS feature, least(greatest(ln(p / (1 - p)) - ln(q / (1 - q)), -8), 8) AS w, df, n FROM c)"""
 
 
-def _model_parts(spark, sf_dir):
-    named = K.exploded(K.feature_names(table(spark, sf_dir, "documents")))
+def _model_parts(spark, sf_dir, named=True):
+    """Features of documents and their counts; by 64-bit hashes where nothing shows the names, so that rows are narrow."""
+    rows = K.feature_names(table(spark, sf_dir, "documents"))
+    named = K.exploded(rows if named else rows.select("doc_id", F.transform("names", lambda n: F.xxhash64(n)).alias("names")))
     return named, K.counts(named, base(spark, sf_dir, _tags, "labels"))
 
 
@@ -408,13 +410,13 @@ sc AS (SELECT doc_id, tag, sum(w) AS total, sum(w) / any_value(nx.n) AS mean, su
 
 @query("k_scores", _model + _scores + " SELECT doc_id, tag, round(total, 6) AS total, round(mean, 6) AS mean, round(top, 6) AS top FROM sc")
 def k_scores(spark, sf_dir):
-    named, parts = _model_parts(spark, sf_dir)
+    named, parts = _model_parts(spark, sf_dir, named=False)
     return K.scores(named, K.log_odds(*parts)).select("doc_id", "tag", *(F.round(c, 6).alias(c) for c in ("total", "mean", "top")))
 
 
 @query("k_cascade", _model + _scores + " SELECT doc_id, tag FROM sc WHERE doc_id % 100 >= 40 AND total >= 1.5")
 def k_cascade(spark, sf_dir):
-    named, parts = _model_parts(spark, sf_dir)
+    named, parts = _model_parts(spark, sf_dir, named=False)
     gate = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 100).cast("double").alias("gate"))
     thresholds = spark.createDataFrame([("quality", 1.5), ("toxic", 1.5)], "tag string, threshold double")
     return K.cascade(gate, 40.0, named, K.log_odds(*parts), thresholds)
@@ -450,7 +452,7 @@ def k_cosine(spark, sf_dir):
     return K.cosine_to(rows, centre).withColumn("cosine", F.round("cosine", 6))
 
 
-# ---------------------------------------------------------------- tokens
+# --- tokens
 
 _tokens = f"""SELECT k AS doc_id, p AS pos, p * 5 AS gs, p * 5 + 4 AS ge, CASE WHEN (k + p) % 4 = 0 THEN 'O' WHEN (k + p) % 4 = 1 THEN 'B-NAME' WHEN (k + p) % 4 = 2 THEN 'I-NAME' ELSE 'B-CITY' END AS label, CAST((k + p) % 10 AS DOUBLE) / 10 AS prob
 FROM ({IDS}) AS i CROSS JOIN (SELECT CAST(id AS BIGINT) AS p FROM {{range8}}) AS r"""
