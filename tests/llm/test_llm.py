@@ -55,7 +55,7 @@ def test_sql_queries(spark):
         assert got == sorted((tuple(r[want.columns.index(c)] for c in names) for r in want.fetchall()), key=repr), name
 
 
-# ---------------------------------------------------------------- line dedup
+# --- line dedup
 
 
 def lines_by_hand(rows, min_chars=20, min_docs=3):
@@ -89,7 +89,7 @@ def test_runs_are_compacted_and_settled_keys_are_not_added(spark):
     assert stored.count() <= 41 + 3 and runs.shared().count() == 1 and runs.shared().first()["owner"] == 39
 
 
-# ---------------------------------------------------------------- substring dedup
+# --- substring dedup
 
 
 def removed_by_hand(rows, span):
@@ -141,7 +141,7 @@ def test_suffix_ranks(letters, span):
     assert [dense[r] for r in rank.tolist()] == [place[raw[i : i + span]] for i in range(len(data))]
 
 
-# ---------------------------------------------------------------- quality
+# --- quality
 
 
 def test_quality_rules(spark, edge, empty):
@@ -186,7 +186,7 @@ def test_sparse_hosts_are_shrunk_more(spark):
     assert rate[300] < rate[600] < rate[0]
 
 
-# ---------------------------------------------------------------- chat
+# --- chat
 
 
 def test_chat(spark, empty):
@@ -217,7 +217,7 @@ def test_turns_of_one_number_are_cut_into_pieces(spark):
         assert [(m["start"] + c["first_char"], m["end"] + c["first_char"]) for c in of for m in c["mask"]] == [tuple(m) for m in r["mask"]]
 
 
-# ---------------------------------------------------------------- html
+# --- html
 
 
 def test_html_pages(spark):
@@ -279,7 +279,7 @@ def test_html_tables(spark):
     assert html_text.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 
-# ---------------------------------------------------------------- BPE
+# --- BPE
 
 
 def test_bpe(spark, edge, empty, monkeypatch):
@@ -305,7 +305,7 @@ def test_bpe_blocks_and_small_tables(spark):
     assert len(flat) == counts.sum() and len(counts) == 4
 
 
-# ---------------------------------------------------------------- language
+# --- language
 
 
 def test_language_held_out(spark, edge, empty):
@@ -331,7 +331,7 @@ def test_long_texts_are_read_in_blocks(monkeypatch):
     assert np.allclose(whole, language_id.means(texts, table), atol=1e-5)
 
 
-# ---------------------------------------------------------------- decontamination
+# --- decontamination
 
 
 def test_decontamination(spark, edge, empty):
@@ -357,7 +357,7 @@ def test_lcs():
     assert decontamination._lcs([1, 2, 3, 4, 9], np.array([1, 3, 4, 5])) == 3 and decontamination._lcs([], np.array([1])) == 0
 
 
-# ---------------------------------------------------------------- SimHash
+# --- SimHash
 
 
 def fingerprint_by_hand(text):
