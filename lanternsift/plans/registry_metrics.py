@@ -408,10 +408,10 @@ _scores = """, nx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id), cell
 sc AS (SELECT doc_id, tag, sum(w) AS total, sum(w) / any_value(nx.n) AS mean, sum(CASE WHEN r <= 3 AND w > 0 THEN w ELSE 0 END) / least(any_value(nx.n), 3) AS top FROM cells JOIN nx USING (doc_id) GROUP BY doc_id, tag)"""
 
 
-@query("k_scores", _model + _scores + " SELECT doc_id, tag, round(total, 6) AS total, round(mean, 6) AS mean, round(top, 6) AS top FROM sc")
+@query("k_scores", _model + _scores + " SELECT doc_id, tag, round(total, 4) AS total, round(mean, 4) AS mean, round(top, 4) AS top FROM sc")
 def k_scores(spark, sf_dir):
     named, parts = _model_parts(spark, sf_dir, named=False)
-    return K.scores(named, K.log_odds(*parts)).select("doc_id", "tag", *(F.round(c, 6).alias(c) for c in ("total", "mean", "top")))
+    return K.scores(named, K.log_odds(*parts)).select("doc_id", "tag", *(F.round(c, 4).alias(c) for c in ("total", "mean", "top")))
 
 
 @query("k_cascade", _model + _scores + " SELECT doc_id, tag FROM sc WHERE doc_id % 100 >= 40 AND total >= 1.5")
