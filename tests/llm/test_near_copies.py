@@ -74,6 +74,58 @@ def test_a_hot_group_of_different_near_copies(spark):
     assert {r["component_id"] for r in near_copies.near_copies(docs).collect()} == {0}
 
 
+def _crowd(groups, seed=7):
+    """Texts of the same words in other orders, so of the same fingerprints: one bucket of many groups of near copies.
+
+    Each group is a chain of four texts, of which only neighbours reach the similarity for sure.
+    """
+    draw, rows = random.Random(seed), []
+    words = [f"w{i}" for i in range(120)]
+    for _ in range(groups):
+        w = draw.sample(words, len(words))
+        for k in range(4):
+            rows.append(" ".join(w))
+            w[30 * k : 30 * k + 7] = reversed(w[30 * k : 30 * k + 7])
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_a_crowded_bucket_loses_no_link(spark, monkeypatch):
+    """More than SMALL texts of one bucket whose least one is no near copy of most: all links between the others count."""
+    rows = _crowd(40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _kept(rows, [near_copies.word_prints(t) for _, t in rows])
+    assert len(want) == 40 == len(_kept(rows))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+    # In many chunks, and with every bucket treated as a large one, the result is that of all pairs again.
+    monkeypatch.setattr(near_copies, "CHUNK", 40_000)
+    monkeypatch.setattr(near_copies, "PILOTS", 2)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+    monkeypatch.setattr(near_copies, "SMALL", 1)
+    rows = _planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = _kept(rows, [near_copies.word_prints(t) for _, t in rows])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_texts_of_one_set_keep_their_own_fingerprints(spark):
+    """A round of words said once or often has one set of shingles; a near copy of either way of saying it is linked."""
+    rows, draw = [], random.Random(3)
+    for k in range(6):
+        w = [f"w{k}x{i}" for i in range(100)]
+        heavy = w + w[:20] * 30
+        rows += [" ".join(w + w[:4]), " ".join(w * 2 + w[:4])]  # the same turn, once and twice
+        for base in (w + w[:20], heavy):
+            rows += [" ".join(base), " ".join(base[:50] + [f"y{k}"] + base[51:])]
+        rows.append(" ".join(w[:20] * 30 + w + w[:20]))
+    draw.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = _kept(rows, [near_copies.word_prints(t) for _, t in rows])
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
 def test_edge_rows_keep_their_groups(spark):
     rows = [(i, t) for i, t in EDGE]
     out = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
