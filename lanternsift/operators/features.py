@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lanternsift.functions.fence import behind, fenced
+from lanternsift.operators import feature_text as T
 
 BUCKETS = 1 << 17
 #: Named read windows: characters, tokens and features that a profile keeps. Whole texts are read unless one is asked for.
@@ -33,23 +37,30 @@ def normal_tokens(text: Column, max_tokens: Column | int | None = None) -> Colum
     return found if max_tokens is None else F.slice(found, F.lit(1), max_tokens if isinstance(max_tokens, Column) else F.lit(max_tokens))
 
 
-def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text", max_tokens: Column | int | None = None) -> DataFrame:
-    """key and names: the distinct word, affix, bigram, shape and length features of each text."""
-    safe = F.coalesce(F.col(text), F.lit(""))
-    base = fenced(docs.select(key, safe.alias("_t")), {"_w": normal_tokens(F.col("_t"), max_tokens)})
-    w, t = F.col("_w"), F.col("_t")
-    bare = F.transform(F.filter(w, lambda x: F.length(x) >= 6), lambda x: F.translate(x, "'_-/.:", ""))
-    plain = F.filter(bare, lambda x: (F.length(x) >= 6) & x.rlike("^[a-z]+$"))
-    pairs = F.transform(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.lit("b:"), F.get(w, i), F.lit("|"), x))
-    shapes = F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(f"r:{n}")) for n, p in SHAPES.items())))
-    length = F.array(F.concat(F.lit("m:length:"), F.least(F.lit(20), F.floor(F.log2(F.greatest(F.length(t), F.lit(1)) + F.lit(1e-9)))).cast("string")))
-    named = F.concat(
-        F.transform(w, lambda x: F.concat(F.lit("u:"), x)),
-        F.transform(plain, lambda x: F.concat(F.lit("p:"), F.left(x, F.lit(5)))),
-        F.transform(plain, lambda x: F.concat(F.lit("s:"), F.right(x, F.lit(5)))),
-        pairs, shapes, length,
-    )
-    return base.select(key, behind(F.array_distinct(named)).alias("names"))
+def feature_names(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and names: the distinct word, affix, bigram, shape and length features of each text (feature_text)."""
+
+    @F.arrow_udf("array<string>")
+    def named(texts: pa.Array) -> pa.Array:
+        return _lists([pa.array(T.names(raw, n), pa.binary()) for raw, n in T.texts(texts)], pa.binary()).cast(pa.list_(pa.string()))
+
+    return docs.select(key, named(F.col(text)).alias("names"))
+
+
+def _lists(rows: list[pa.Array], kind: pa.DataType) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.concat_arrays(rows) if rows else pa.array([], kind))
+
+
+def feature_sums(docs: DataFrame, sums: dict[str, Column], text: str = "text", by_hash: bool = False) -> DataFrame:
+    """feature (its name or 64-bit hash) and, of each number, the sum over the documents that have the feature.
+
+    Each task adds up a bounded number of features first, so they are shuffled by feature and not by document.
+    """
+    width, add = len(sums), T.hashed_sums if by_hash else T.named_sums
+    numbers = F.array(*(c.cast("bigint") for c in sums.values()))
+    parts = docs.select(F.col(text), numbers.alias("v")).mapInArrow(lambda batches: add(batches, width), f"feature {'bigint' if by_hash else 'string'}, " + ", ".join(f"s{i} bigint" for i in range(width)))
+    return parts.groupBy("feature").agg(*(F.sum(f"s{i}").alias(n) for i, n in enumerate(sums)))
 
 
 def hashed(names: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, most: Column | int | None = None) -> DataFrame:
@@ -63,85 +74,114 @@ def hashed(names: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, most:
     return base.select(key, behind(F.when(n > most, thin).otherwise(f)).alias("features"))
 
 
+def hashed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """As hashed(feature_names(docs)), without the names between."""
+
+    @F.arrow_udf("array<bigint>")
+    def ids(texts: pa.Array) -> pa.Array:
+        return _lists([pa.array(T.buckets(raw, n, buckets), pa.int64()) for raw, n in T.texts(texts)], pa.int64())
+
+    return docs.select(key, ids(F.col(text)).alias("features"))
+
+
 def profiled(docs: DataFrame, profiles: dict[str, tuple[int, int, int]] | None = None, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """key, profile and features of every read window, from one read of the table."""
-    table = F.array(*(F.struct(F.lit(n).alias("profile"), *(F.lit(x).alias(c) for c, x in zip(("chars", "tokens", "most"), w))) for n, w in sorted((profiles or PROFILES).items())))
-    each = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), F.explode(table).alias("p"))
-    rows = each.select(F.struct("k", "p.profile", "p.tokens", "p.most").alias("row"), F.left("text", F.col("p.chars")).alias("text"))
-    found = hashed(feature_names(rows, "row", "text", F.col("row.tokens")), "row", buckets, F.col("row.most"))
-    return found.select(F.col("row.k").alias(key), F.col("row.profile").alias("profile"), "features")
+    windows = sorted((profiles or PROFILES).items())
+
+    @F.arrow_udf("array<struct<profile:string,features:array<bigint>>>")
+    def each(texts: pa.Array) -> pa.Array:
+        made = []
+        for raw, n in T.texts(texts):
+            whole = None if n == len(raw) else raw.decode("utf-8", "replace")
+            for _, (chars, tokens, most) in windows:
+                cut = raw if n <= chars else raw[:chars] if whole is None else whole[:chars].encode()
+                made.append(pa.array(T.buckets(cut, min(n, chars), buckets, tokens, most), pa.int64()))
+        items = pa.StructArray.from_arrays([pa.array([p for p, _ in windows] * len(texts), pa.string()), _lists(made, pa.int64())], ["profile", "features"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(windows)), items)
+
+    return docs.select(key, F.explode(each(F.col(text))).alias("p")).select(key, "p.profile", "p.features")
 
 
 def csr(features: DataFrame, key: str = "doc_id") -> tuple:
     """indptr, indices and keys of a bounded part of features, for linear algebra in one place; a corpus stays a table."""
-    import numpy as np
-
     rows = features.orderBy(key).select(key, "features").toArrow()
     sizes = [len(f) for f in rows["features"].to_pylist()]
     return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.array([i for f in rows["features"].to_pylist() for i in f], np.int32), rows[key].to_numpy()
 
 
-def exploded(named: DataFrame, key: str = "doc_id", column: str = "names") -> DataFrame:
-    return named.select(key, F.explode(column).alias("feature"))
+def counts(docs: DataFrame, tags: DataFrame, key: str = "doc_id", text: str = "text", by_hash: bool = False) -> tuple[DataFrame, list[Row]]:
+    """(feature, df, complete_df and pos_complete_i, pos_partial_i of each tag), and the tags' own counts, a dimension.
 
-
-def counts(features: DataFrame, tags: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(feature: df, complete_df), (tag, feature: pos_complete, pos_partial), (tag: n_complete, n_pos_complete, n_pos_partial, n).
-
-    tags: key, tag, gold, complete, one row a document and tag. All are partial sums by small keys before any shuffle.
+    tags: key, tag, gold, complete, one row a document and tag. Only texts with tags are read for features, once.
     """
-    docs = tags.groupBy(key).agg(F.bool_and("complete").alias("complete"))
-    seen = features.join(docs, key)
-    by_feature = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.count_if("complete").alias("complete_df"))
-    positive = tags.where("gold").select(key, "tag", "complete")
-    by_cell = features.join(positive, key).groupBy("tag", "feature").agg(F.count_if("complete").alias("pos_complete"), F.count_if(~F.col("complete")).alias("pos_partial"))
+    gold, complete = F.coalesce("gold", F.lit(False)), F.coalesce("complete", F.lit(False))
     by_tag = tags.groupBy("tag").agg(
-        F.count_if("complete").alias("n_complete"), F.count_if(F.col("gold") & F.col("complete")).alias("n_pos_complete"),
-        F.count_if(F.col("gold") & ~F.col("complete")).alias("n_pos_partial"), F.count(F.lit(1)).alias("n"),
-    )
-    return by_feature, by_cell, by_tag
-
-
-def log_odds(by_feature: DataFrame, by_cell: DataFrame, by_tag: DataFrame, alpha: float = 1.0, partial: float = 0.5, min_df: int = 2, clip: float = 8.0, idf: str | None = None, power: float = 0.65) -> DataFrame:
-    """tag, feature, w. Smoothing gives unseen cells a weight too, so every frequent feature meets every tag of the dimension."""
-    grid = by_feature.where(F.col("df") >= min_df).crossJoin(F.broadcast(by_tag)).join(by_cell, ["tag", "feature"], "left").na.fill(0, ["pos_complete", "pos_partial"])
-    pos = F.col("pos_complete") + partial * F.col("pos_partial")
-    neg = F.greatest(F.col("complete_df") - F.col("pos_complete"), F.lit(0))
-    n_pos = F.col("n_pos_complete") + partial * F.col("n_pos_partial")
-    n_neg = F.greatest(F.col("n_complete") - F.col("n_pos_complete"), F.lit(0))
+        F.count_if(complete).alias("n_complete"), F.count_if(gold & complete).alias("n_pos_complete"),
+        F.count_if(gold & ~complete).alias("n_pos_partial"), F.count(F.lit(1)).alias("n"),
+    ).orderBy("tag").collect()
+    cells = {f"pos_{kind}_{i}": F.count_if((F.col("tag") == r["tag"]) & gold & ok) for i, r in enumerate(by_tag) for kind, ok in (("complete", complete), ("partial", ~complete))}
+    labels = tags.groupBy(key).agg(F.bool_and("complete").alias("complete_df"), *(c.alias(n) for n, c in cells.items()))
+    seen = docs.select(key, text).join(labels, key)
+    numbers = {"df": F.lit(1), "complete_df": F.coalesce(F.col("complete_df").cast("int"), F.lit(0)), **{n: F.col(n) for n in cells}}
+    return feature_sums(seen, numbers, text, by_hash), by_tag
+
+
+def weights(by_feature: DataFrame, by_tag: list[Row], alpha: float = 1.0, partial: float = 0.5, min_df: int = 2, clip: float = 8.0, idf: str | None = None, power: float = 0.65) -> DataFrame:
+    """feature and w, the weights of all tags in the order of by_tag. Smoothing gives unseen cells a weight too."""
     inside = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    p, q = inside((pos + alpha) / (n_pos + 2 * alpha)), inside((neg + alpha) / (n_neg + 2 * alpha))
-    w = F.ln(p / (1 - p)) - F.ln(q / (1 - q))
-    factor = {
-        None: F.lit(1.0),
-        "plain": F.pow(F.ln(F.col("n") / F.greatest(F.col("df"), F.lit(1))), F.lit(power)),
-        "smooth": F.pow(F.least(F.greatest(F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0, F.lit(1.0)), F.lit(6.0)), F.lit(power)),
-    }[idf]
     bounded = lambda c: F.least(F.greatest(c, F.lit(-clip)), F.lit(clip))
-    return grid.select("tag", "feature", (bounded(w) * factor if idf == "smooth" else bounded(w * factor)).alias("w"))
 
+    def weight(i: int, r: Row) -> Column:
+        pos = F.col(f"pos_complete_{i}") + partial * F.col(f"pos_partial_{i}")
+        neg = F.greatest(F.col("complete_df") - F.col(f"pos_complete_{i}"), F.lit(0))
+        n_pos, n_neg = r["n_pos_complete"] + partial * r["n_pos_partial"], max(r["n_complete"] - r["n_pos_complete"], 0)
+        p, q = inside((pos + alpha) / F.lit(n_pos + 2 * alpha)), inside((neg + alpha) / F.lit(n_neg + 2 * alpha))
+        w = F.ln(p / (1 - p)) - F.ln(q / (1 - q))
+        factor = {
+            None: F.lit(1.0),
+            "plain": F.pow(F.ln(F.lit(r["n"]) / F.greatest(F.col("df"), F.lit(1))), F.lit(power)),
+            "smooth": F.pow(F.least(F.greatest(F.ln(F.lit(r["n"] + 1.0) / (F.col("df") + 1.0)) + 1.0, F.lit(1.0)), F.lit(6.0)), F.lit(power)),
+        }[idf]
+        return bounded(w) * factor if idf == "smooth" else bounded(w * factor)
+
+    return by_feature.where(F.col("df") >= min_df).select("feature", F.array(*(weight(i, r) for i, r in enumerate(by_tag))).cast("array<double>").alias("w"))
 
-def scores(features: DataFrame, weights: DataFrame, key: str = "doc_id", k: int = 3) -> DataFrame:
+
+def log_odds(by_feature: DataFrame, by_tag: list[Row], **options) -> DataFrame:
+    """tag, feature, w: every frequent feature meets every tag of the dimension."""
+    names = F.array(*(F.lit(r["tag"]) for r in by_tag)).cast("array<string>")
+    return weights(by_feature, by_tag, **options).select("feature", F.explode(F.arrays_zip(names.alias("tag"), F.col("w").alias("w"))).alias("c")).select("c.tag", "feature", "c.w")
+
+
+def scores(docs: DataFrame, weights: DataFrame, tags: list[str], key: str = "doc_id", text: str = "text", k: int = 3, chunk_bytes: int = 16 << 20) -> DataFrame:
     """key, tag, total, mean, top: the sum and mean of weights and the mean of the k best of max(w, 0), zeros included.
 
-    The k best are kept in each task first, so a document's weights are never gathered whole.
+    weights: feature (hash) and w, of all tags. Documents lie in chunks of bounded text; a chunk asks for the weights of
+    its distinct features and adds them up at its texts, so that no row is made for a document and feature.
     """
-    n = features.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    cells = features.join(weights, "feature").select(key, "tag", "w")
-    flat = cells.groupBy(key, "tag").agg(F.sum("w").alias("total"))
-    best = cells.where("w > 0").withColumn("r", F.row_number().over(Window.partitionBy(key, "tag").orderBy(F.desc("w")))).where(F.col("r") <= k).groupBy(key, "tag").agg(F.sum("w").alias("best"))
-    out = flat.join(best, [key, "tag"], "left").join(n, key)
-    return out.select(key, "tag", "total", (F.col("total") / F.col("n")).alias("mean"), (F.coalesce("best", F.lit(0.0)) / F.least(F.col("n"), F.lit(k))).alias("top"))
+    safe = docs.where(F.col(key).isNotNull()).select(key, text)
+    size = safe.agg(F.sum(F.octet_length(text)).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    n = max(1, -(-((size["n"] or 0) + 64 * size["rows"]) // chunk_bytes))
+    chunked = safe.select(F.pmod(F.hash(key), F.lit(n)).alias("_c"), key, text).repartition(n, "_c")
+    asked = chunked.select("_c", text).sortWithinPartitions("_c").mapInArrow(T.vocabulary, "_c int, feature bigint")
+    known = asked.join(weights, "feature").select("_c", "feature", "w")
+    kind = docs.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField("tag", StringType()), *(StructField(c, DoubleType()) for c in ("total", "mean", "top"))])
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        return T.chunk_scores(texts, found, tags, k, pa.schema([(key, texts.schema.field(1).type), ("tag", pa.string()), *((c, pa.float64()) for c in ("total", "mean", "top"))]))
+
+    return chunked.groupBy("_c").cogroup(known.groupBy("_c")).applyInArrow(score, schema)
 
 
 def predict(scored: DataFrame, thresholds: DataFrame, value: str = "total") -> DataFrame:
     return scored.join(F.broadcast(thresholds), "tag").where(F.col(value) >= F.col("threshold")).select("doc_id", "tag")
 
 
-def cascade(gate: DataFrame, cut: float, features: DataFrame, weights: DataFrame, thresholds: DataFrame) -> DataFrame:
+def cascade(gate: DataFrame, cut: float, docs: DataFrame, weights: DataFrame, tags: list[str], thresholds: DataFrame) -> DataFrame:
     """Tags of documents whose gate opens; the heads never see the others."""
     open_ = gate.where(F.col("gate") >= cut).select("doc_id")
-    return predict(scores(features.join(open_, "doc_id", "left_semi"), weights), thresholds)
+    return predict(scores(docs.join(open_, "doc_id", "left_semi"), weights, tags), thresholds)
 
 
 def hybrid(a: DataFrame, b: DataFrame, priority: list[str]) -> DataFrame:

@@ -352,14 +352,13 @@ FROM (SELECT *, list_filter(list_transform(toks, lambda x: regexp_replace(x, '[^
 
 @query("f_token_features", f"SELECT w, count(*) AS df FROM ({_words}) AS x GROUP BY w")
 def f_token_features(spark, sf_dir):
-    rows = K.exploded(K.feature_names(table(spark, sf_dir, "documents")))
-    return rows.groupBy(F.col("feature").alias("w")).agg(F.count(F.lit(1)).alias("df"))
+    return K.feature_sums(table(spark, sf_dir, "documents"), {"df": F.lit(1)}).withColumnRenamed("feature", "w")
 
 
 @query("f_hashed")
 def f_hashed(spark, sf_dir):
     """Compared with the CRC-32 of zlib in tests."""
-    return K.hashed(K.feature_names(table(spark, sf_dir, "documents"))).select("doc_id", F.size("features").alias("n"), F.array_join("features", ",").alias("features"))
+    return K.hashed_texts(table(spark, sf_dir, "documents")).select("doc_id", F.size("features").alias("n"), F.array_join("features", ",").alias("features"))
 
 
 @query("f_profiles")
@@ -379,29 +378,24 @@ c AS (SELECT tag, w, df, n, least(greatest(p, 1e-6), 1 - 1e-6) AS p, least(great
 weights AS (SELECT tag, w AS feature, least(greatest(ln(p / (1 - p)) - ln(q / (1 - q)), -8), 8) AS w, df, n FROM c)"""
 
 
-def _model_parts(spark, sf_dir, named=True):
-    """Features of documents and their counts; by 64-bit hashes where nothing shows the names, so that rows are narrow."""
-    rows = K.feature_names(table(spark, sf_dir, "documents"))
-    named = K.exploded(rows if named else rows.select("doc_id", F.transform("names", lambda n: F.xxhash64(n)).alias("names")))
-    return named, K.counts(named, base(spark, sf_dir, _tags, "labels"))
+def _counts(spark, sf_dir, by_hash=False):
+    """Counts of features and tags; by 64-bit hashes where nothing shows the names, so that rows are narrow."""
+    return K.counts(table(spark, sf_dir, "documents"), base(spark, sf_dir, _tags, "labels"), by_hash=by_hash)
 
 
 @query("k_log_odds", _model + " SELECT tag, feature, round(w, 9) AS w FROM weights")
 def k_log_odds(spark, sf_dir):
-    _, parts = _model_parts(spark, sf_dir)
-    return K.log_odds(*parts).withColumn("w", F.round("w", 9))
+    return K.log_odds(*_counts(spark, sf_dir)).withColumn("w", F.round("w", 9))
 
 
 @query("k_tempered", _model + " SELECT tag, feature, round(w2, 9) AS w FROM (SELECT tag, feature, least(greatest(raw * pow(ln(n / greatest(df, 1)), 0.65), -8), 8) AS w2 FROM (SELECT tag, w AS feature, ln(p / (1 - p)) - ln(q / (1 - q)) AS raw, df, n FROM c) AS r) AS t")
 def k_tempered(spark, sf_dir):
-    _, parts = _model_parts(spark, sf_dir)
-    return K.log_odds(*parts, idf="plain").withColumn("w", F.round("w", 9))
+    return K.log_odds(*_counts(spark, sf_dir), idf="plain").withColumn("w", F.round("w", 9))
 
 
 @query("k_tfidf", _model + " SELECT tag, feature, round(w * pow(least(greatest(ln((n + 1.0) / (df + 1.0)) + 1.0, 1.0), 6.0), 0.65), 9) AS w FROM weights")
 def k_tfidf(spark, sf_dir):
-    _, parts = _model_parts(spark, sf_dir)
-    return K.log_odds(*parts, idf="smooth").withColumn("w", F.round("w", 9))
+    return K.log_odds(*_counts(spark, sf_dir), idf="smooth").withColumn("w", F.round("w", 9))
 
 
 _scores = """, nx AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id), cells AS (SELECT x.doc_id, weights.tag, weights.w, row_number() OVER (PARTITION BY x.doc_id, weights.tag ORDER BY weights.w DESC) AS r FROM x JOIN weights ON x.w = weights.feature),
@@ -410,16 +404,17 @@ sc AS (SELECT doc_id, tag, sum(w) AS total, sum(w) / any_value(nx.n) AS mean, su
 
 @query("k_scores", _model + _scores + " SELECT doc_id, tag, round(total, 4) AS total, round(mean, 4) AS mean, round(top, 4) AS top FROM sc")
 def k_scores(spark, sf_dir):
-    named, parts = _model_parts(spark, sf_dir, named=False)
-    return K.scores(named, K.log_odds(*parts)).select("doc_id", "tag", *(F.round(c, 4).alias(c) for c in ("total", "mean", "top")))
+    by_feature, by_tag = _counts(spark, sf_dir, by_hash=True)
+    return K.scores(table(spark, sf_dir, "documents"), K.weights(by_feature, by_tag), [r["tag"] for r in by_tag]).select("doc_id", "tag", *(F.round(c, 4).alias(c) for c in ("total", "mean", "top")))
 
 
 @query("k_cascade", _model + _scores + " SELECT doc_id, tag FROM sc WHERE doc_id % 100 >= 40 AND total >= 1.5")
 def k_cascade(spark, sf_dir):
-    named, parts = _model_parts(spark, sf_dir, named=False)
+    by_feature, by_tag = _counts(spark, sf_dir, by_hash=True)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gate = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 100).cast("double").alias("gate"))
     thresholds = spark.createDataFrame([("quality", 1.5), ("toxic", 1.5)], "tag string, threshold double")
-    return K.cascade(gate, 40.0, named, K.log_odds(*parts), thresholds)
+    return K.cascade(gate, 40.0, docs, K.weights(by_feature, by_tag), [r["tag"] for r in by_tag], thresholds)
 
 
 @query("k_fusion_votes", """SELECT doc_id, tag FROM (SELECT doc_id, 'a' AS tag, doc_id % 2 = 0 OR doc_id % 3 = 0 AS f FROM labels UNION ALL SELECT doc_id, 'b', doc_id % 2 = 0 AND doc_id % 3 = 0 FROM labels UNION ALL

@@ -5,6 +5,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,36 @@ def test_package_verification(spark, tmp_path):
     manifest = spark.createDataFrame([("a", digest(b"1"), 1), ("b", digest(b"no"), 2), ("c", digest(b"333"), 9), ("gone", "0", 1)], "file string, sha256 string, bytes long")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert sorted(tuple(r) for r in S.verify_package(files, manifest).collect()) == [("b", "digest"), ("c", "size"), ("gone", "missing"), ("x", "extra")]
+
+
+def test_scores_equal_a_plain_sum(spark, monkeypatch):
+    """Ids that come twice are one document, chunks are many, and sums are passed on in parts."""
+    from lanternsift.operators import feature_text as T
+
+    texts = [(1, "alpha beta gamma"), (1, "alpha beta"), (2, None), (3, "Beta-alpha’s 12/04 gamma gamma"), (4, "nothing known"), (None, "alpha")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for mode in (False, True):
+        monkeypatch.setattr(T, "SUMMED", 2)
+        monkeypatch.setattr(T, "HASHED", 2)
+        vectors = pa.RecordBatch.from_arrays([pa.array([t for _, t in texts]), pa.array([[1, i] for i in range(len(texts))], pa.list_(pa.int64()))], ["text", "v"])
+        got = {}
+        for b in (T.hashed_sums if mode else T.named_sums)(iter([vectors]), 2):
+            for r in b.to_pylist():
+                at = got.setdefault(r["feature"], [0, 0])
+                at[0], at[1] = at[0] + r["s0"], at[1] + r["s1"]
+        want = {}
+        for i, (_, t) in enumerate(texts):
+            for n in _names(t or ""):
+                at = want.setdefault(n, [0, 0])
+                at[0], at[1] = at[0] + 1, at[1] + i
+        assert sorted(got.values()) == sorted(want.values()) and (mode or got == want)
+    known = {"u:alpha": [1.5, -1.0], "u:gamma": [-0.5, 2.0], "b:alpha|beta": [0.25, 0.0], "u:beta": [2.0, 3.0], "u:delta": [9.0, 9.0]}
+    weights = spark.createDataFrame([(h, known[n]) for n in known for h in [int(T.hash_of(n.encode()))]], "feature long, w array<double>")
+    got = {(r["doc_id"], r["tag"]): (r["total"], r["mean"], r["top"]) for r in K.scores(docs, weights, ["a", "b"], k=2, chunk_bytes=80).collect()}
+    want = {}
+    for i in (1, 3):
+        every = [n for d, t in texts if d == i for n in _names(t)]
+        for j, tag in enumerate("ab"):
+            w = [known[n][j] for n in every if n in known]
+            want[i, tag] = (sum(w), sum(w) / len(every), sum(sorted((max(x, 0.0) for x in w), reverse=True)[:2]) / 2)
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
