@@ -46,16 +46,42 @@ def _space_places(texts: pa.Array) -> pa.Array:
 
 def tokenised(text: Column, path: str) -> Column:
     """id, start and end (code points) of a tokenizer's tokens, never truncated. Each worker loads the file once."""
+    return F.arrow_udf(_TOKENS)(lambda texts: _items([_encoded(path, t) for t in texts]))(text)
 
-    @F.arrow_udf("array<struct<id:int,start:int,end:int>>")
-    def tokens(texts: pa.Array) -> pa.Array:
-        found = [_tokenizer(path).encode(t or "", add_special_tokens=False) for t in texts.to_pylist()]
-        bounds = np.concatenate(([0], np.cumsum([len(e.ids) for e in found]))).astype(np.int32)
-        columns = [[i for e in found for i in e.ids], [a for e in found for a, _ in e.offsets], [b for e in found for _, b in e.offsets]]
-        items = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["id", "start", "end"])
-        return pa.ListArray.from_arrays(pa.array(bounds), items)
 
-    return tokens(text)
+def tokenised_rows(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and t, the tokens of each text: as tokenised(), in batches of bounded size however many texts come in one."""
+
+    def encode(batches):
+        for b in batches:
+            held, size, first = [], 0, 0
+            for at, t in enumerate(b.column(1)):
+                held.append(_encoded(path, t))
+                size += held[-1].shape[1]
+                if size >= TOKENS_HELD or at + 1 == len(b):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), _items(held)], [key, "t"])
+                    held, size, first = [], 0, at + 1
+
+    rows = docs.select(key, text)
+    return rows.mapInArrow(encode, f"`{key}` {rows.schema[key].dataType.simpleString()}, t {_TOKENS}")
+
+
+_TOKENS = "array<struct<id:int,start:int,end:int>>"
+#: Tokens that a worker holds before it passes them on.
+TOKENS_HELD = 1 << 18
+
+
+def _encoded(path: str, text: pa.Scalar) -> np.ndarray:
+    """Ids, starts and ends as rows. The library's encoding, a hundred bytes and more a token, is dropped with its text."""
+    found = _tokenizer(path).encode(text.as_py() or "", add_special_tokens=False)
+    offsets = np.array(found.offsets, np.int32).reshape(-1, 2)
+    return np.stack((np.array(found.ids, np.int32), offsets[:, 0], offsets[:, 1]))
+
+
+def _items(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([r.shape[1] for r in rows]))).astype(np.int32)
+    columns = np.concatenate(rows, axis=1) if rows else np.zeros((3, 0), np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(c) for c in columns], ["id", "start", "end"]))
 
 
 _TOKENIZERS: dict = {}

@@ -178,7 +178,7 @@ def n_tokenise(spark, sf_dir):
     """Compared with the tokenizers library in tests."""
     import public_tokenizers
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", N.tokenised(F.col("text"), public_tokenizers.path("word_bpe_49k.json")).alias("t"))
+    rows = N.tokenised_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return rows.select("doc_id", F.size("t").alias("n"), F.coalesce(F.array_max("t.end"), F.lit(0)).alias("last_end"))
 
 

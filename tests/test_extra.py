@@ -264,3 +264,14 @@ def test_scores_equal_a_plain_sum(spark, monkeypatch):
             w = [known[n][j] for n in every if n in known]
             want[i, tag] = (sum(w), sum(w) / len(every), sum(sorted((max(x, 0.0) for x in w), reverse=True)[:2]) / 2)
     assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_tokens_come_in_bounded_batches(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(N, "TOKENS_HELD", 8)
+    docs = spark.createDataFrame([(i, None if i == 3 else "one two three four " * (i % 5)) for i in range(40)], "i int, text string").coalesce(1)
+    rows = N.tokenised_rows(docs, path, "i")
+    want = {r["i"]: r["t"] for r in docs.select("i", N.tokenised(F.col("text"), path).alias("t")).collect()}
+    assert {r["i"]: r["t"] for r in rows.collect()} == want and len(want) == 40
