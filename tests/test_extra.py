@@ -275,3 +275,14 @@ def test_tokens_come_in_bounded_batches(spark, monkeypatch):
     rows = N.tokenised_rows(docs, path, "i")
     want = {r["i"]: r["t"] for r in docs.select("i", N.tokenised(F.col("text"), path).alias("t")).collect()}
     assert {r["i"]: r["t"] for r in rows.collect()} == want and len(want) == 40
+
+
+def test_a_batch_of_texts_is_never_held_as_strings():
+    import tracemalloc
+
+    texts = pa.array(["mail a@b.org " + "x" * 20_000] * 500)
+    tracemalloc.start()
+    found = scanner._each(lambda s: scanner.find(s, ["email"], False, 2024), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 500 and all(len(f) == 1 for f in found) and peak < texts.nbytes / 4
