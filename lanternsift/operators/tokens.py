@@ -152,9 +152,14 @@ def token_offsets(tokens: Column, blanks: Column) -> Column:
     return F.zip_with(tokens, running(sizes), lambda t, at: F.struct(at.alias("start"), (at + F.length(t)).alias("end"), t.alias("token")))
 
 
-def bio_encode(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """tokens (doc_id, pos, start, end) by spans (doc_id, type, start, end) -> doc_id, pos, label; first token B, then I."""
-    t, s = tokens.alias("t"), spans.alias("s")
+def bio_encode(tokens: DataFrame, spans: DataFrame, tokens_each: int = 250_000) -> DataFrame:
+    """tokens (doc_id, pos, start, end) by spans (doc_id, type, start, end) -> doc_id, pos, label; first token B, then I.
+
+    Documents are spread once, so that a task sorts about tokens_each tokens however many there are; partitions of a
+    number that is asked for aren't put together again, and neither side is broadcast by the size of its files.
+    """
+    n = max(1, -(-tokens.count() // tokens_each))
+    t, s = tokens.repartition(n, "doc_id").alias("t"), spans.repartition(n, "doc_id").hint("merge").alias("s")
     on = (F.col("t.doc_id") == F.col("s.doc_id")) & (F.col("t.start") < F.col("s.end")) & (F.col("s.start") < F.col("t.end"))
     met = t.join(s, on, "left").select("t.doc_id", "t.pos", F.col("s.type").alias("type"), F.col("s.start").alias("span"))
     one = met.groupBy("doc_id", "pos").agg(F.min(F.struct("span", "type")).alias("m"))

@@ -286,3 +286,11 @@ def test_a_batch_of_texts_is_never_held_as_strings():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 500 and all(len(f) == 1 for f in found) and peak < texts.nbytes / 4
+
+
+def test_bio_encode_spreads_tokens(spark):
+    tokens = spark.range(4000).selectExpr("id div 8 AS doc_id", "id % 8 AS pos", "id % 8 * 5 AS start", "id % 8 * 5 + 4 AS end")
+    spans = spark.range(500).selectExpr("id AS doc_id", "'NAME' AS type", "5 AS start", "14 AS end")
+    labels = N.bio_encode(tokens, spans, tokens_each=100)
+    assert labels.rdd.getNumPartitions() == 40
+    assert {(r["doc_id"], r["pos"]): r["label"] for r in labels.collect()} == {(d, p): {1: "B-NAME", 2: "I-NAME"}.get(p, "O") for d in range(500) for p in range(8)}
