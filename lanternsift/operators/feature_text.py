@@ -113,16 +113,20 @@ _B = zlib.crc32(b"b:")
 _CRCS = _Crcs()
 
 
-def buckets(raw: bytes, chars: int, n: int, tokens_most: int | None = None, most: int | None = None) -> list[int]:
-    """Sorted distinct CRC-32 buckets of names(), thinned evenly to most where that is given."""
-    crc, mask, found = zlib.crc32, n - 1, tokens(raw, tokens_most)
+def buckets(raw: bytes, chars: int, n: int, found: list[bytes] | None = None) -> list[int]:
+    """Sorted distinct CRC-32 buckets of names(); found: the tokens to be taken, if not all."""
+    crc, mask, found = zlib.crc32, n - 1, tokens(raw) if found is None else found
     known = [_CRCS[t] for t in found]
     every = {c for k in known for c in k[1]}
     every.update(map(crc, found[1:], [k[0] for k in known]))
     every.update(map(crc, shapes(raw)))
     every.add(crc(length_name(chars)))
-    ids = sorted({c & mask for c in every})
-    return [ids[int(i * (len(ids) / most))] for i in range(most)] if most is not None and len(ids) > most else ids
+    return sorted({c & mask for c in every})
+
+
+def thinned(ids: list[int], most: int) -> list[int]:
+    """Evenly spaced ones, most at the most."""
+    return [ids[int(i * (len(ids) / most))] for i in range(most)] if len(ids) > most else ids
 
 
 # --- 64-bit hashes

@@ -93,9 +93,15 @@ def profiled(docs: DataFrame, profiles: dict[str, tuple[int, int, int]] | None =
         made = []
         for raw, n in T.texts(texts):
             whole = None if n == len(raw) else raw.decode("utf-8", "replace")
+            cuts, ids = {}, {}  # windows that see the same of a text share its buckets
             for _, (chars, tokens, most) in windows:
-                cut = raw if n <= chars else raw[:chars] if whole is None else whole[:chars].encode()
-                made.append(pa.array(T.buckets(cut, min(n, chars), buckets, tokens, most), pa.int64()))
+                if (size := min(n, chars)) not in cuts:
+                    cut = raw if size == n else raw[:size] if whole is None else whole[:size].encode()
+                    cuts[size] = cut, T.tokens(cut)
+                cut, found = cuts[size]
+                if (seen := (size, min(len(found), tokens))) not in ids:
+                    ids[seen] = T.buckets(cut, size, buckets, found[:tokens])
+                made.append(pa.array(T.thinned(ids[seen], most), pa.int64()))
         items = pa.StructArray.from_arrays([pa.array([p for p, _ in windows] * len(texts), pa.string()), _lists(made, pa.int64())], ["profile", "features"])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(windows)), items)
 
